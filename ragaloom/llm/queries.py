@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragaloom.llm import glyphs
-from ragaloom.session import table
+from ragaloom.llm import glyphs, merkle, splits
+from ragaloom.session import table, written
 
 TYPED = (("tracks_meta", "raga"), ("lyrics_catalog", "title"), ("compositions", "composition_name"))
 
@@ -29,7 +29,51 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_consistent_values(spark, sf_dir).filter("changed").select("field", "row_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_consistent_values": p5_consistent_values}
+def _groups(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {
+        "tracks_meta": splits.groups(splits.track_edges(table(spark, sf_dir, "tracks_meta"))),
+        "scraped_compositions": splits.groups(splits.artist_edges(table(spark, sf_dir, "scraped_compositions"))),
+    }
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of at least two related tracks or artist values."""
+    return _union(g.select(F.lit(name).alias("table_name"), "member_key", "group_key") for name, g in _groups(spark, sf_dir).items())
+
+
+def p2_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of every track and listing."""
+    shares = {r["split_name"]: r["share"] for r in table(spark, sf_dir, "split_targets").collect()}
+    members = {"tracks_meta": "track_id", "scraped_compositions": "artist"}
+    return _union(splits.assigned(table(spark, sf_dir, name), members[name], g, shares).select(F.lit(name).alias("table_name"), "row_id", "group_key", "split_name") for name, g in _groups(spark, sf_dir).items())
+
+
+def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each split, and their part of the table."""
+    counts = p2_assignment(spark, sf_dir).groupBy("table_name", "split_name").agg(F.count("*").alias("n_rows"))
+    whole = counts.groupBy("table_name").agg(F.sum("n_rows").alias("whole"))
+    return counts.join(F.broadcast(whole), "table_name").select("table_name", "split_name", "n_rows", F.round(F.col("n_rows") / F.col("whole"), 6).alias("part"))
+
+
+TITLED = {"lyrics_catalog": ["meaning_generated_at", "added_at"], "composition_catalog_meta": [], "scraped_compositions": ["scraped_at"]}
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies hidden by the formatting of the title."""
+    return _union(merkle.copies(table(spark, sf_dir, name), "row_id", "title", times).select(F.lit(name).alias("table_name"), "first_row_id", "copy_row_id") for name, times in TITLED.items())
+
+
+def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record once, with the number of its copies, itself included."""
+    out = []
+    for name, times in TITLED.items():
+        df = table(spark, sf_dir, name)
+        found = written(merkle.copies(df, "row_id", "title", times), "copies")
+        out.append(merkle.collapsed(df.select("row_id", "title"), found, "row_id").select(F.lit(name).alias("table_name"), "row_id", "title", "copies"))
+    return _union(out)
+
+
+QUERIES = {"p2_found": p2_found, "p2_assignment": p2_assignment, "p2_shares": p2_shares, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_consistent_values": p5_consistent_values}
 
 # Which values need a change, told from the characters they hold instead of by mapping them.
 _NEEDS = r"""(x <> nfc_normalize(x) OR regexp_matches(x, '[\x{AD}\x{A0}\x{200B}-\x{200F}\x{202A}-\x{202F}\x{2060}-\x{2064}\x{2000}-\x{200A}\x{205F}\x{3000}\x{FEFF}\x{FF01}-\x{FFEE}]')

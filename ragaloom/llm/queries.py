@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragaloom.llm import glyphs, merkle, splits
+from ragaloom.llm import canonical, glyphs, merkle, splits
 from ragaloom.session import table, written
 
 TYPED = (("tracks_meta", "raga"), ("lyrics_catalog", "title"), ("compositions", "composition_name"))
@@ -55,6 +55,28 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(F.broadcast(whole), "table_name").select("table_name", "split_name", "n_rows", F.round(F.col("n_rows") / F.col("whole"), 6).alias("part"))
 
 
+ENTERED = (("scraped_compositions", "raga"), ("scraped_compositions", "raga_canonical"), ("lyrics_catalog", "raga"))
+
+
+def p3_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's entered raga with the entry it means; 0 if it means none, null if nothing was entered."""
+    values = _union(table(spark, sf_dir, name).select(F.col(column).alias("value")).distinct() for name, column in ENTERED)
+    means = canonical.resolved(values, table(spark, sf_dir, "raga_vocab").select("raga_id", "raga_name"))
+    means = written(means, "means")
+    return _union(canonical.mapped(table(spark, sf_dir, name), column, means).select(F.lit(f"{name}.{column}").alias("field"), "row_id", "value", F.col("entry_id").alias("raga_id")) for name, column in ENTERED)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows whose value, not null or blank, isn't the name of an entry as stored."""
+    names = table(spark, sf_dir, "raga_vocab").select(F.col("raga_name").alias("value")).distinct()
+    return p3_entries(spark, sf_dir).filter("trim(value) <> ''").join(F.broadcast(names), "value", "left_anti").select("field", "row_id", "raga_id")
+
+
+def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that mean no entry, with their rows."""
+    return p3_entries(spark, sf_dir).filter("raga_id = 0 and trim(value) <> ''").groupBy("field", "value").agg(F.count("*").alias("n_rows"))
+
+
 TITLED = {"lyrics_catalog": ["meaning_generated_at", "added_at"], "composition_catalog_meta": [], "scraped_compositions": ["scraped_at"]}
 
 
@@ -73,7 +95,7 @@ def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _union(out)
 
 
-QUERIES = {"p2_found": p2_found, "p2_assignment": p2_assignment, "p2_shares": p2_shares, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_consistent_values": p5_consistent_values}
+QUERIES = {"p2_found": p2_found, "p2_assignment": p2_assignment, "p2_shares": p2_shares, "p3_found": p3_found, "p3_entries": p3_entries, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_consistent_values": p5_consistent_values}
 
 # Which values need a change, told from the characters they hold instead of by mapping them.
 _NEEDS = r"""(x <> nfc_normalize(x) OR regexp_matches(x, '[\x{AD}\x{A0}\x{200B}-\x{200F}\x{202A}-\x{202F}\x{2060}-\x{2064}\x{2000}-\x{200A}\x{205F}\x{3000}\x{FEFF}\x{FF01}-\x{FFEE}]')

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragaloom.llm import canonical, glyphs, merkle, splits
+from ragaloom.llm import canonical, glyphs, merkle, names, splits
 from ragaloom.session import table, written
 
 TYPED = (("tracks_meta", "raga"), ("lyrics_catalog", "title"), ("compositions", "composition_name"))
@@ -95,7 +95,23 @@ def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _union(out)
 
 
-QUERIES = {"p2_found": p2_found, "p2_assignment": p2_assignment, "p2_shares": p2_shares, "p3_found": p3_found, "p3_entries": p3_entries, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_consistent_values": p5_consistent_values}
+NAMED = (("artist", "scraped_compositions", "artist"), ("composer", "compositions", "composer"), ("composer", "lyrics_catalog", "composer"))
+
+
+def p6_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each name with its person and the number of that person's names."""
+    values = _union(table(spark, sf_dir, name).select(F.lit(role).alias("role"), F.col(column).alias("name")).distinct() for role, name, column in NAMED).distinct()
+    found = written(names.persons(values, table(spark, sf_dir, "name_nicknames").select("nickname", "given_name")), "named")
+    counts = found.groupBy("role", "person").agg(F.count("*").alias("n_names"))
+    return found.join(counts, ["role", "person"]).select("role", "name", "person", "n_names")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of names that mean the same person."""
+    return names.pairs(p6_names(spark, sf_dir))
+
+
+QUERIES = {"p2_found": p2_found, "p2_assignment": p2_assignment, "p2_shares": p2_shares, "p3_found": p3_found, "p3_entries": p3_entries, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_records": p4_records, "p6_found": p6_found, "p6_names": p6_names, "p5_found": p5_found, "p5_consistent_values": p5_consistent_values}
 
 # Which values need a change, told from the characters they hold instead of by mapping them.
 _NEEDS = r"""(x <> nfc_normalize(x) OR regexp_matches(x, '[\x{AD}\x{A0}\x{200B}-\x{200F}\x{202A}-\x{202F}\x{2060}-\x{2064}\x{2000}-\x{200A}\x{205F}\x{3000}\x{FEFF}\x{FF01}-\x{FFEE}]')

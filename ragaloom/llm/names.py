@@ -38,6 +38,8 @@ def tokens(name: str, nicknames: dict[str, str]) -> tuple[str, ...]:
         last, _, first = text.partition(",")
         text = f"{first} {last}" if first.strip() else last
     words = [w for w in WORD.findall(text) if w not in TITLES]
+    if len(words) > 1 and len(words[-1]) == 1 and len(words[0]) > 1:  # Last F.
+        words = words[1:] + words[:1]
     return tuple(squeeze(nicknames.get(w, w)) for w in words)
 
 
@@ -90,12 +92,15 @@ def relation(a: tuple[str, ...], b: tuple[str, ...]) -> int | None:
     turned = {"".join(b), "".join(b[-1:] + b[:-1])}
     if "".join(a) in turned or "".join(a[-1:] + a[:-1]) in turned:
         return SAME
-    left, right, full = list(a), list(b), 0
+    if (whole := "".join(x for x in a if len(x) > 1)) == "".join(y for y in b if len(y) > 1) and whole:
+        return PART
+    left, right, full, last = list(a), list(b), 0, set()
     for x in a:
         if len(x) > 1 and (y := next((y for y in right if len(y) > 1 and alike(x, y)), None)):
             left.remove(x)
             right.remove(y)
             full += 1
+            last |= {x, y}
     for x in [x for x in left if len(x) == 1 and x in right]:
         if x in right:
             left.remove(x)
@@ -108,8 +113,10 @@ def relation(a: tuple[str, ...], b: tuple[str, ...]) -> int | None:
                 one.remove(x)
                 other.remove(y)
                 short += 1
-    if not full or equal + short < 2 or left and right:
-        return None
+                if any(len(z) > 1 for z in one):
+                    return None  # the initial stands before another first name
+    if not full or equal + short < 2 or left and right or any(n[-1] not in last for n in (a, b) if len(n) > 2 or min(map(len, n)) == 1):
+        return None  # of names other than two plain words, whose order isn't known, the last word must agree
     if not left and not right and not short:
         return SAME
     return PART if full > 1 else INITIAL

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragaloom.llm import canonical, glyphs, merkle, names, splits
+from ragaloom.llm import canonical, glyphs, merkle, mixture, names, packing, splits
+from ragaloom.llm.tokens import token_counts
 from ragaloom.session import table, written
 
 TYPED = (("tracks_meta", "raga"), ("lyrics_catalog", "title"), ("compositions", "composition_name"))
@@ -111,7 +112,39 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.pairs(p6_names(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_assignment": p2_assignment, "p2_shares": p2_shares, "p3_found": p3_found, "p3_entries": p3_entries, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_records": p4_records, "p6_found": p6_found, "p6_names": p6_names, "p5_found": p5_found, "p5_consistent_values": p5_consistent_values}
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every piece of every text, for each container size."""
+    return packing.packed(token_counts(table(spark, sf_dir, "documents"), ["doc_id"]), table(spark, sf_dir, "pack_limits"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers are filled."""
+    return packing.fill(p8_packed(spark, sf_dir), table(spark, sf_dir, "pack_limits"))
+
+
+#: Sources of one domain take up each other's shortages first.
+DOMAINS = {
+    "lyric_sheets": "songs", "meaning_notes": "songs", "concert_reviews": "press", "festival_programmes": "press", "liner_notes": "press",
+    "video_comments": "talk", "rasika_forum": "talk", "lesson_notes": "study", "blog_essays": "study", "interviews": "study", "field_diaries": "study", "archive_ocr": "study",
+}
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang"])
+    return mixture.mixed(sizes, table(spark, sf_dir, "mix_targets"), DOMAINS)
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the mixture and how often each is used."""
+    return _mixture(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mixture(spark, sf_dir)[1]
+
+
+QUERIES = {"p2_found": p2_found, "p2_assignment": p2_assignment, "p2_shares": p2_shares, "p3_found": p3_found, "p3_entries": p3_entries, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_records": p4_records, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p6_found": p6_found, "p6_names": p6_names, "p5_found": p5_found, "p5_consistent_values": p5_consistent_values}
 
 # Which values need a change, told from the characters they hold instead of by mapping them.
 _NEEDS = r"""(x <> nfc_normalize(x) OR regexp_matches(x, '[\x{AD}\x{A0}\x{200B}-\x{200F}\x{202A}-\x{202F}\x{2060}-\x{2064}\x{2000}-\x{200A}\x{205F}\x{3000}\x{FEFF}\x{FF01}-\x{FFEE}]')

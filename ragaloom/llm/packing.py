@@ -13,6 +13,8 @@ from ragaloom.session import Written
 
 #: Pieces of texts in a shard that is packed by itself. A shard leaves about one container partly filled.
 SHARD_PIECES = 50_000
+#: Container sizes that may be asked for at once; each text gets a row for each.
+MOST_LIMITS = 1000
 
 
 class OpenBins:
@@ -98,8 +100,11 @@ def packed(sizes: DataFrame, limits: DataFrame, shard_pieces: int = SHARD_PIECES
     """
     held = Written(sizes.filter("n_tokens > 0").select("doc_id", F.col("n_tokens").cast("long").alias("n")), "sizes")
     shards = max(1, -(-held.df.count() // shard_pieces))
-    rules = F.broadcast(limits.filter("capacity_tokens > 0 and container is not null").select("container", F.col("capacity_tokens").cast("int").alias("capacity")))
-    each = held.df.crossJoin(rules).withColumn("full", F.expr("cast(n div capacity as int)"))
+    rules = limits.filter("capacity_tokens > 0 and container is not null").select("container", "capacity_tokens").limit(MOST_LIMITS + 1).collect()
+    if len(rules) > MOST_LIMITS:
+        raise ValueError(f"more than {MOST_LIMITS} container sizes")
+    sizes_of = F.array(*[F.struct(F.lit(r[0]).alias("container"), F.lit(int(r[1])).alias("capacity")) for r in rules]) if rules else F.expr("cast(array() as array<struct<container:string,capacity:int>>)")
+    each = held.df.withColumn("x", F.explode(sizes_of)).select("doc_id", "n", "x.*").withColumn("full", F.expr("cast(n div capacity as int)"))
     whole = each.filter("full > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
     whole = whole.select("container", F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("container_id"), "doc_id", "piece", (F.col("piece") * F.col("capacity")).cast("long").alias("start_token"), F.col("capacity").cast("long").alias("n_tokens"), F.lit(0).alias("offset"))
     rest = each.withColumn("size", (F.col("n") - F.col("full") * F.col("capacity")).cast("long")).filter("size > 0")

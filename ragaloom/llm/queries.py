@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragaloom.llm import canonical, glyphs, merkle, mixture, names, packing, splits
+from ragaloom.llm import canonical, glyphs, merkle, mixture, names, neighbours, packing, splits
 from ragaloom.llm.tokens import token_counts
 from ragaloom.session import table, written
 
@@ -144,7 +144,19 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
-QUERIES = {"p2_found": p2_found, "p2_assignment": p2_assignment, "p2_shares": p2_shares, "p3_found": p3_found, "p3_entries": p3_entries, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_records": p4_records, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p6_found": p6_found, "p6_names": p6_names, "p5_found": p5_found, "p5_consistent_values": p5_consistent_values}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of tracks of similarity at least 0.9 of which one is among the 5 most similar of the other."""
+    near = neighbours.neighbours(table(spark, sf_dir, "composition_catalog_contours"), "track_id", "contour", k=5, floor=0.9)
+    return near.filter("similarity >= 0.9").select(F.least("id", "other").alias("track_id_a"), F.greatest("id", "other").alias("track_id_b")).distinct()
+
+
+def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar tracks of every track with a usable contour."""
+    near = neighbours.neighbours(table(spark, sf_dir, "composition_catalog_contours"), "track_id", "contour", k=5)
+    return near.select(F.col("id").alias("track_id"), F.col("other").alias("neighbour_id"), F.round("similarity", 4).alias("similarity"), "rank")
+
+
+QUERIES = {"p2_found": p2_found, "p2_assignment": p2_assignment, "p2_shares": p2_shares, "p3_found": p3_found, "p3_entries": p3_entries, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_records": p4_records, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p6_found": p6_found, "p6_names": p6_names, "p5_found": p5_found, "p5_consistent_values": p5_consistent_values}
 
 # Which values need a change, told from the characters they hold instead of by mapping them.
 _NEEDS = r"""(x <> nfc_normalize(x) OR regexp_matches(x, '[\x{AD}\x{A0}\x{200B}-\x{200F}\x{202A}-\x{202F}\x{2060}-\x{2064}\x{2000}-\x{200A}\x{205F}\x{3000}\x{FEFF}\x{FF01}-\x{FFEE}]')

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragaloom.llm import canonical, glyphs, merkle, mixture, names, neighbours, packing, splits
+from ragaloom.llm import abuse, canonical, glyphs, merkle, mixture, names, neighbours, packing, splits
 from ragaloom.llm.tokens import token_counts
 from ragaloom.session import table, written
 
@@ -156,7 +156,44 @@ def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("track_id"), F.col("other").alias("neighbour_id"), F.round("similarity", 4).alias("similarity"), "rank")
 
 
-QUERIES = {"p2_found": p2_found, "p2_assignment": p2_assignment, "p2_shares": p2_shares, "p3_found": p3_found, "p3_entries": p3_entries, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_records": p4_records, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p6_found": p6_found, "p6_names": p6_names, "p5_found": p5_found, "p5_consistent_values": p5_consistent_values}
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document."""
+    return abuse.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are abusive, hateful or sexual."""
+    return p10_scores(spark, sf_dir).filter(F.col("score") >= abuse.CASE).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of each source."""
+    return abuse.rates(p10_scores(spark, sf_dir))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_assignment": p2_assignment,
+    "p2_shares": p2_shares,
+    "p3_found": p3_found,
+    "p3_entries": p3_entries,
+    "p3_unmatched": p3_unmatched,
+    "p4_found": p4_found,
+    "p4_records": p4_records,
+    "p7_found": p7_found,
+    "p7_neighbours": p7_neighbours,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p6_found": p6_found,
+    "p6_names": p6_names,
+    "p5_found": p5_found,
+    "p5_consistent_values": p5_consistent_values,
+}
 
 # Which values need a change, told from the characters they hold instead of by mapping them.
 _NEEDS = r"""(x <> nfc_normalize(x) OR regexp_matches(x, '[\x{AD}\x{A0}\x{200B}-\x{200F}\x{202A}-\x{202F}\x{2060}-\x{2064}\x{2000}-\x{200A}\x{205F}\x{3000}\x{FEFF}\x{FF01}-\x{FFEE}]')

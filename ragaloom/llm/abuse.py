@@ -18,6 +18,8 @@ from ragaloom.session import Written
 BUCKETS, FACTORS, WINDOW, STRIDE = 1 << 17, 8, 20, 10
 #: Labelled documents that the model is fitted on, at most, and windows without abuse among them; chosen by hash.
 MOST_LABELLED, MOST_CLEAN = 20_000, 30_000
+#: Characters of the labelled documents that the model is fitted on, at most, taken whole in the order of the hash.
+MOST_CHARS = 40_000_000
 #: A document is a case from this score on.
 CASE = 0.5
 #: The character that marks a sentence's end among the words of a text.
@@ -254,12 +256,18 @@ def document_scores(machine: Machine, reader: Reader, texts: list[str | None]) -
 
 
 def fitted(documents: DataFrame, labels: DataFrame) -> Machine:
-    """A machine fitted on at most MOST_LABELLED labelled documents, chosen by a hash of the id."""
+    """A machine fitted on at most MOST_LABELLED labelled documents of MOST_CHARS characters in all, chosen by a hash of the id."""
     held = Written(labels.filter("abusive is not null and doc_id is not null").groupBy("doc_id").agg(F.max("abusive").alias("abusive")), "labels").df
     if held.count() > MOST_LABELLED:
         held = Written(held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED), "labels").df
-    told = attach(documents.select("doc_id", "text"), held, ["doc_id"], "inner").toPandas().sort_values("doc_id")
-    return train(told["text"].tolist(), told["abusive"].to_numpy())
+    told = Written(attach(documents.select("doc_id", "text"), held, ["doc_id"], "inner"), "told").df
+    sizes = told.select("doc_id", F.xxhash64("doc_id").alias("h"), F.coalesce(F.length("text"), F.lit(0)).alias("n")).toPandas().sort_values(["h", "doc_id"])
+    chosen = sizes.loc[sizes["n"].cumsum() <= MOST_CHARS, "doc_id"].tolist()
+    if len(chosen) < len(sizes):
+        spark = documents.sparkSession
+        told = told.join(F.broadcast(spark.createDataFrame([(int(i),) for i in chosen], "doc_id bigint")), "doc_id", "left_semi")
+    rows = told.toPandas().sort_values("doc_id")
+    return train(rows["text"].tolist(), rows["abusive"].to_numpy())
 
 
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:

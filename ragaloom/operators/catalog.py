@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragaloom.functions import text
-from ragaloom.operators.skew import attach
+from ragaloom.operators.skew import BROADCAST_BYTES, attach
 from ragaloom.session import Written
 
 #: A vocabulary for fuzzy matching may have this many names at most; it goes to every task.
@@ -48,26 +48,24 @@ def search(df: DataFrame, column: str, part: str) -> DataFrame:
 def found_by_title(catalog: DataFrame, titles: DataFrame) -> DataFrame:
     """(wanted, title): the exact title, else the smallest title that contains the wanted text; null if none does.
 
-    The wanted titles must be few (they are fetched): each that isn't found exactly scans the catalog's titles once.
+    Only wanted texts that aren't found exactly are searched for in all titles; they must fit a broadcast, whose size is
+    checked. % and _ in them are wild, and the case of A to Z doesn't count.
     """
     names = catalog.select("title").dropna().distinct()
     wanted = Written(titles.select(F.col(titles.columns[0]).alias("wanted")).dropna().distinct(), "wanted").df
     exact = wanted.join(names.withColumnRenamed("title", "wanted"), "wanted", "left_semi").withColumn("title", F.col("wanted"))
-    rest = [r[0] for r in wanted.join(exact, "wanted", "left_anti").limit(1001).collect()]
-    if len(rest) > 1000:
-        raise ValueError("more than 1000 titles aren't found exactly; search for fewer at once")
-    near = [F.min(F.when(text.like(F.col("title"), w), F.col("title"))).alias(str(i)) for i, w in enumerate(rest)]
-    if not near:
-        return exact
-    one = names.agg(*near)
-    spark = catalog.sparkSession
-    listed = one.select(F.explode(F.array(*[F.struct(F.lit(w).alias("wanted"), F.col(str(i)).alias("title")) for i, w in enumerate(rest)])).alias("x")).select("x.*")
-    return exact.unionByName(listed) if spark else exact
+    rest = Written(wanted.join(exact, "wanted", "left_anti"), "rest")
+    if rest.bytes > BROADCAST_BYTES:
+        raise ValueError("too many titles that aren't found exactly; search for fewer at once")
+    pattern = F.concat(F.lit("%"), F.replace(text.ascii_lower(F.col("wanted")), F.lit("\\"), F.lit("\\\\")), F.lit("%")).alias("pattern")
+    asked = F.broadcast(rest.df.select("wanted", pattern))
+    near = names.join(asked, F.like(text.ascii_lower(F.col("title")), F.col("pattern"))).groupBy("wanted").agg(F.min("title").alias("title"))
+    return exact.unionByName(rest.df.join(near, "wanted", "left"))
 
 
 def fold_index(vocabulary: DataFrame, name: str) -> DataFrame:
-    """(key, canonical) by folded names; the parts of ``A/B`` count too, and the first entry of a key wins."""
-    parts = vocabulary.select(F.col(name).alias("canonical"), F.monotonically_increasing_id().alias("seq")) if "seq" not in vocabulary.columns else vocabulary.select(F.col(name).alias("canonical"), "seq")
+    """(key, canonical) by folded names of a vocabulary with ``seq``; the parts of ``A/B`` count too, and the first entry of a key wins."""
+    parts = vocabulary.select(F.col(name).alias("canonical"), "seq")
     both = parts.select("canonical", "seq", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("p"), F.col("canonical").alias("n"))), F.transform(F.split("canonical", "/"), lambda n: F.struct(F.lit(1).alias("p"), n.alias("n"))))).alias("x"))
     keyed = both.select("canonical", "seq", "x.p", text.fold(F.col("x.n")).alias("key")).filter("key <> ''")
     return latest(keyed, ["key"], "p", "seq").select("key", "canonical")

@@ -55,7 +55,7 @@ def classifier(kind: str, inputs: int, classes: int, trees: int = 300, seed: int
         hidden = [256, 128] if kind == "mlp" else [128, 64]
         return [StandardScaler(inputCol="vector", outputCol="scaled", withMean=True), MultilayerPerceptronClassifier(layers=[inputs, *hidden, classes], seed=seed, maxIter=200, labelCol="code", featuresCol="scaled")]
     if kind == "svm":
-        return [OneVsRest(classifier=LinearSVC(regParam=0.01, featuresCol="vector", labelCol="code"), labelCol="code", featuresCol="vector")]
+        return [OneVsRest(classifier=LinearSVC(regParam=0.01, maxIter=30, featuresCol="vector", labelCol="code"), labelCol="code", featuresCol="vector")]
     raise ValueError(f"unknown classifier {kind!r}")
 
 

@@ -34,11 +34,13 @@ def analysed(files: DataFrame, rate: int = 22_050, seconds: float = 60.0, least:
     """
     import numpy as np
 
+    names = ["track_id", "pitch_contour", "tonic_hz", "normalized_pitch_contour", "sample_rate", "duration_seconds", "onset_times", "beat_times", "problem"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples():
-                row = {"track_id": r.track_id, "problem": None}
+                row = dict.fromkeys(names) | {"track_id": r.track_id}
                 try:
                     if r.content is None or len(r.content) > most_bytes:
                         raise ValueError("no content, or too large")
@@ -56,7 +58,6 @@ def analysed(files: DataFrame, rate: int = 22_050, seconds: float = 60.0, least:
                 except Exception as e:  # noqa: BLE001
                     row["problem"] = str(e)
                 rows.append(row)
-            names = ["track_id", "pitch_contour", "tonic_hz", "normalized_pitch_contour", "sample_rate", "duration_seconds", "onset_times", "beat_times", "problem"]
             yield pd.DataFrame(rows, columns=names).astype({"tonic_hz": float, "duration_seconds": float, "sample_rate": "Int32"})
 
     schema = "track_id string, pitch_contour array<double>, tonic_hz double, normalized_pitch_contour array<double>, sample_rate int, duration_seconds double, onset_times array<double>, beat_times array<double>, problem string"

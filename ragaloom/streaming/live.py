@@ -33,10 +33,10 @@ def sessions(frames: DataFrame, gap: str = "30 seconds", late: str = "10 minutes
     return frames.withWatermark("ts", late).groupBy("track_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("track_id", "w.start", "w.end", "n")
 
 
-def rolling(frames: DataFrame, keep: int = ROLLING, quiet: str = "30 minutes") -> DataFrame:
+def rolling(frames: DataFrame, keep: int = ROLLING, quiet: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """(track_id, n_seen, frequencies): each track's last ``keep`` voiced frames, again at every batch that brings some.
 
-    The state of a track is dropped when it has been quiet for that long.
+    The state of a track is dropped when the watermark is past its last frame by the quiet time.
     """
     milliseconds = int(pd.Timedelta(quiet).total_seconds() * 1000)
 
@@ -45,12 +45,12 @@ def rolling(frames: DataFrame, keep: int = ROLLING, quiet: str = "30 minutes") -
             state.remove()
             return
         seen, held = state.get if state.exists else (0, [])
-        new = pd.concat(list(batches)).sort_values("ts")["hz"]
-        new = new[new > 0].tolist()
+        rows = pd.concat(list(batches)).sort_values("ts")
+        new = rows["hz"][rows["hz"] > 0].tolist()
         seen, held = seen + len(new), [*held, *new][-keep:]
         state.update((seen, held))
-        state.setTimeoutDuration(milliseconds)
+        state.setTimeoutTimestamp(max(int(rows["ts"].iloc[-1].timestamp() * 1000) + milliseconds, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"track_id": [key[0]], "n_seen": [seen], "frequencies": [held]})
 
     kind = dict(frames.dtypes)["track_id"]
-    return frames.groupBy("track_id").applyInPandasWithState(run, f"track_id {kind}, n_seen long, frequencies array<double>", "n long, held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return frames.withWatermark("ts", late).groupBy("track_id").applyInPandasWithState(run, f"track_id {kind}, n_seen long, frequencies array<double>", "n long, held array<double>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -165,7 +165,8 @@ def persons(values: DataFrame, nicknames: DataFrame) -> DataFrame:
 
     Names are read as words (titles dropped, ``Last, First`` turned, nicknames replaced), blocked by phonetic codes of
     sorted words, compared word by word with Jaro-Winkler, and clustered by connected components. A name that leaves a
-    word out, or gives an initial for it, joins a person only if it fits one person and no other. Null, '' and credits
+    word out, or gives an initial for it, joins a person only if it fits one person and no other; that is judged again
+    after each merge, until none is left, names with a word left out first. Null, '' and credits
     of several performers take no part; a name without any letter stands alone. ``person`` is the person's smallest
     form, prefixed for names that stand alone. The nickname table must fit in memory (it is fetched whole).
     """
@@ -179,14 +180,19 @@ def persons(values: DataFrame, nicknames: DataFrame) -> DataFrame:
     edges = found.select(node("a").alias("a"), node("b").alias("b"), "kind")
     taken = edges.filter(F.col("kind") == SAME).select("a", "b")
     label = written(components(taken), "persons")
-    for kind in (PART, INITIAL):
-        weak = edges.filter(F.col("kind") == kind).select("a", "b")
+    step, kinds = 0, (PART, INITIAL)
+    while step < len(kinds):
+        weak = edges.filter(F.col("kind") == kinds[step]).select("a", "b")
         for side in ("a", "b"):
             weak = attach(weak, label.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), [side])
         weak = weak.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a <> b")
-        sure = weak.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("last")).filter("b = last").select("a", "b")
-        taken = taken.unionByName(written(sure, "sure"))
+        sure = written(weak.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("last")).filter("b = last").select("a", "b"), "sure")
+        if sure.isEmpty():
+            step += 1
+            continue
+        taken = taken.unionByName(sure)
         label = written(components(taken), "persons")
+        step = 0  # two persons that a name fitted may be one now
     out = attach(named.select("role", "name", node("form").alias("node")), label, ["node"])
     return out.select("role", "name", F.when(F.col("node").endswith("\x1f"), F.concat(F.lit("!"), "name")).otherwise(F.coalesce("component", "node")).alias("person"))
 

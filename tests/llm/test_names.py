@@ -38,3 +38,11 @@ def test_persons(spark, monkeypatch, tile):
     pairs = N.pairs(N.persons(df, nick)).collect()
     assert len(pairs) == len(PERSON) * (len(PERSON) - 1) // 2 and all(r["name_a"] < r["name_b"] for r in pairs)
     assert N.persons(df.limit(0), nick).collect() == []
+
+
+def test_persons_are_judged_again_after_merges(spark):
+    one = ["Yiruva Bhorotishoku", "Bhorotishoku, B. Yiruva", "Bachagu Yiruva Bhorotishoku", "Y. Bhorotishoku"]
+    others = ["K. Zed", "Kal Zed", "Kim Zed"]
+    df = spark.createDataFrame([("artist", n) for n in [*one, *others]], "role string, name string")
+    by = {r["name"]: r["person"] for r in N.persons(df, spark.createDataFrame([], "nickname string, given_name string")).collect()}
+    assert len({by[n] for n in one}) == 1 and len({by[n] for n in others}) == 3 and len(set(by.values())) == 4

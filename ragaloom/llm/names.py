@@ -83,8 +83,13 @@ def jaro_winkler(a: str, b: str) -> float:
 
 
 def alike(a: str, b: str) -> bool:
-    """Whether two words are spellings of one."""
-    return a == b or abs(len(a) - len(b)) < 3 and jaro_winkler(a, b) >= 0.88 and damerau(a, b) <= (1 if min(len(a), len(b)) < 7 else 2)
+    """Whether two words are spellings of one; one edit in a long word may lower their Jaro-Winkler value more, by shifting repeated letters."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > 2 or (near := jaro_winkler(a, b)) < 0.82:
+        return False
+    least, edits = min(len(a), len(b)), damerau(a, b)
+    return edits <= (1 if least < 7 else 2) and (near >= 0.88 or edits == 1 and least > 5)
 
 
 def relation(a: tuple[str, ...], b: tuple[str, ...]) -> int | None:

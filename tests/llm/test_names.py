@@ -46,3 +46,8 @@ def test_persons_are_judged_again_after_merges(spark):
     df = spark.createDataFrame([("artist", n) for n in [*one, *others]], "role string, name string")
     by = {r["name"]: r["person"] for r in N.persons(df, spark.createDataFrame([], "nickname string, given_name string")).collect()}
     assert len({by[n] for n in one}) == 1 and len({by[n] for n in others}) == 3 and len(set(by.values())) == 4
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [("Nububhun Dhitholuvepu", "Nbubhun Dhitholuvepu", True), ("Thunomuvugu Shamiri", "Shamiri Thenomuvugu", True), ("Kal Zedoru", "Kim Zedoru", False), ("Talo Zedoru", "Tilo Zedoru", False)])
+def test_one_edit_in_a_long_word(a, b, want):
+    assert (N.relation(N.tokens(a, {}), N.tokens(b, {})) == N.SAME) == want

@@ -48,18 +48,21 @@ def search(df: DataFrame, column: str, part: str) -> DataFrame:
 def found_by_title(catalog: DataFrame, titles: DataFrame) -> DataFrame:
     """(wanted, title): the exact title, else the smallest title that contains the wanted text; null if none does.
 
-    Only wanted texts that aren't found exactly are searched for in all titles; they must fit a broadcast, whose size is
-    checked. % and _ in them are wild, and the case of A to Z doesn't count.
+    Only wanted texts that aren't found exactly are searched for in all titles, all at once up to BROADCAST_BYTES
+    of Parquet, beyond in blocks by hash of about half that size. % and _ in them are wild, and the case of A to Z doesn't count.
     """
     names = catalog.select("title").dropna().distinct()
     wanted = Written(titles.select(F.col(titles.columns[0]).alias("wanted")).dropna().distinct(), "wanted").df
     exact = wanted.join(names.withColumnRenamed("title", "wanted"), "wanted", "left_semi").withColumn("title", F.col("wanted"))
     rest = Written(wanted.join(exact, "wanted", "left_anti"), "rest")
-    if rest.bytes > BROADCAST_BYTES:
-        raise ValueError("too many titles that aren't found exactly; search for fewer at once")
     pattern = F.concat(F.lit("%"), F.replace(text.ascii_lower(F.col("wanted")), F.lit("\\"), F.lit("\\\\")), F.lit("%")).alias("pattern")
-    asked = F.broadcast(rest.df.select("wanted", pattern))
-    near = names.join(asked, F.like(text.ascii_lower(F.col("title")), F.col("pattern"))).groupBy("wanted").agg(F.min("title").alias("title"))
+    blocks = 1 if rest.bytes <= BROADCAST_BYTES else -(-2 * rest.bytes // BROADCAST_BYTES)
+    near = None
+    for i in range(blocks):
+        asked = F.broadcast(rest.df.filter(F.pmod(F.xxhash64("wanted"), F.lit(blocks)) == i).select("wanted", pattern))
+        one = names.join(asked, F.like(text.ascii_lower(F.col("title")), F.col("pattern"))).groupBy("wanted").agg(F.min("title").alias("title"))
+        one = one if blocks == 1 else Written(one, "near").df
+        near = one if near is None else near.unionByName(one)
     return exact.unionByName(rest.df.join(near, "wanted", "left"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,41 +16,25 @@ from ragaloom.operators.skew import attach
 from ragaloom.session import Written
 
 #: Hashed features, factors, words of a window and the step between windows of a sentence longer than that.
-BUCKETS, FACTORS, WINDOW, STRIDE = 1 << 17, 8, 20, 10
-#: Labelled documents that the model is fitted on, at most, and windows without abuse among them; chosen by hash.
-MOST_LABELLED, MOST_CLEAN = 20_000, 30_000
-#: Characters of the labelled documents that the model is fitted on, at most, taken whole in the order of the hash.
-MOST_CHARS = 40_000_000
+BUCKETS, FACTORS, WINDOW, STRIDE = 1 << 20, 4, 20, 10
+#: Labelled documents that the model is fitted on, at most, and their characters; whole documents, chosen by hash.
+MOST_LABELLED, MOST_CHARS = 20_000, 20_000_000
+#: Windows of clean documents that a fit reads, about; chosen at random and weighted up to all of them. Those that look abusive are all read.
+CLEAN_WINDOWS = 40_000
+#: Labelled documents in which a feature must occur to tell anything.
+LEAST_DOCUMENTS = 3
+#: Part of the clean documents that may be labelled abusive, and of the abusive ones that may be labelled clean.
+WRONG_ABUSIVE, WRONG_CLEAN = 0.02, 0.05
+#: Parts of the labelled documents, each scored by a machine fitted on the others, and how often that is done.
+FOLDS, ROUNDS = 3, 3
 #: A document is a case from this score on.
 CASE = 0.5
 #: The character that marks a sentence's end among the words of a text.
 STOP = "\n"
 
-TOKEN = regex.compile(r"\b(?:(?:[^\W\d_][.\-_*]){2,}|(?:[^\W\d_] ){3,})[^\W\d_](?![\w*])|[a-zß-ɏḀ-ỿ][a-z0-9ß-ɏḀ-ỿ*@$'’]*|[.!?]+(?=[\s\"'”’)]|$)|\n")
+TOKEN = regex.compile(r"\b(?:(?:[^\W\d_][.\-_*]){2,}|(?:[^\W\d_] ){3,})[^\W\d_](?![\w*])|[0-9$@]?[a-zß-ɏḀ-ỿ](?:[a-z0-9ß-ɏḀ-ỿ*@$'’]|!(?=[a-z]))*|[.!?]+(?=[\s\"'”’)]|$)|\n")
 ELONGATED = regex.compile(r"(.)\1\1+")
-DIGITS = str.maketrans("013457@$", "oieastas")
-
-# Words of a kind, by which rare words share what is learned about common ones.
-KINDS = {
-    "insult": "idiot idiots moron morons imbecile cretin fool loser losers scum scumbag slob slobs dimwit halfwit asshole bastard bitch dumb stupid pathetic worthless spineless brainless filthy stinking ugly trottel arschloch crétin con ordure",
-    "animal": "rat rats pig pigs worm dog dogs vermin parasite parasites leech leeches animal animals subhuman cockroach cockroaches ungeziefer schwein vermine",
-    "curse": "fuck fucking shit damn bloody hell crap merde scheiße",
-    "threat": "kill smash burn hang shoot shot choke drown drowned break cut spit drag beat strangle stab throat crever noyer verprügelt einschläfern",
-    "lewd": "tits boobs naked nude nudes porn xxx horny cock cum sex whore slut salope schlampe seins titten orgasm legs undress jerk",
-    "group": "migrants settlers immigrants foreigners folk tribe clan caste widows women men northern southern cripples gays jews muslims leute gens",
-    "second": "you your yours yourself u ur du dich dein deine toi ta tes tu",
-    "report": "called moderators reported quote quoted wrote removed apologise insulted insult unacceptable shame asked",
-}
-KIND_OF = {w: i for i, words in enumerate(KINDS.values()) for w in words.split()}
-
-
-#: Kinds that say nothing by themselves.
-UNTELLING = {list(KINDS).index(k) for k in ("group", "second", "report")}
-
-
-def _kind(number):
-    """The feature of a kind of words; the last kind are words with letters masked out."""
-    return (number * 7919 + 13) % BUCKETS
+DIGITS = str.maketrans("013457@$!", "oieastasi")
 
 
 def plain(word: str) -> str:
@@ -58,7 +43,7 @@ def plain(word: str) -> str:
         word = word[::2]
     word = ELONGATED.sub(r"\1", word)
     if "*" in word:
-        return word[:1] + "*" + word[-1:]
+        return word[:1].translate(DIGITS) + "*" + word[-1:]
     return word.translate(DIGITS).strip("'’")
 
 
@@ -71,7 +56,7 @@ class Reader:
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {STOP: 0}
-        self.word, self.kind = [0], [-1]
+        self.word = [0]
 
     def number(self, token: str) -> int:
         """The token's number in this reader; 0 for a sentence's end."""
@@ -82,14 +67,13 @@ class Reader:
         if n is None:
             n = self.known["=" + word] = len(self.word)
             self.word.append(_hash(word) or 1)
-            self.kind.append(KIND_OF.get(word, len(KINDS) if "*" in word else -1))
         if len(self.known) < 2_000_000:
             self.known[token] = n
         return n
 
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(terms, pairs, kinds, windows, documents): the hashed word at each place, the hashed pair of it and the next,
-        its kind's feature (-1 if none), the places where windows begin and end, and the document of each window."""
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(terms, pairs, windows, documents): the hashed word at each place, the hashed pair of it and the next, the
+        places where windows begin and end, and the document of each window."""
         known, number, numbers, ends = self.known, self.number, [0], []
         for text in texts:
             for token in TOKEN.findall(text.lower()) if text else ():
@@ -99,7 +83,6 @@ class Reader:
             ends.append(len(numbers))
         at = np.asarray(numbers, np.int64)
         hashes = np.asarray(self.word, np.int64)[at]
-        kinds = np.asarray(self.kind, np.int64)[at]
         terms = hashes % BUCKETS
         pairs = (hashes * 31 + np.append(hashes[1:], 0) * 1_000_003) % BUCKETS
         stops = np.flatnonzero(at == 0)
@@ -108,46 +91,64 @@ class Reader:
         steps = np.maximum(1, -(-(end - begin - WINDOW) // STRIDE) + 1)
         first = np.repeat(begin, steps) + STRIDE * (np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps))
         windows = np.stack([first, np.minimum(first + WINDOW, np.repeat(end, steps))], axis=1)
-        return terms, pairs, np.where(kinds < 0, -1, _kind(kinds)), windows, np.searchsorted(np.asarray(ends), windows[:, 0], "right")
+        return terms, pairs, windows, np.searchsorted(np.asarray(ends), windows[:, 0], "right")
+
+
+def _probability(score: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
 class Machine:
-    """A factorization machine: a weight for each feature, and for each two the product of their factors."""
+    """A factorization machine: a weight for each feature, and for each two the product of their factors.
 
-    def __init__(self, seed: int = 5) -> None:
-        self.bias = -4.0
-        self.weight = np.zeros(BUCKETS, np.float32)
-        self.factor = (np.random.default_rng(seed).standard_normal((BUCKETS, FACTORS)) * 0.02).astype(np.float32)
+    Row 0 is for all features that the fit didn't know; it is 0 and stays so.
+    """
+
+    def __init__(self, features: np.ndarray | None = None, seed: int = 5) -> None:
+        features = np.zeros(0, np.int64) if features is None else features
+        self.bias, n = -4.0, len(features) + 1
+        self.row = np.zeros(BUCKETS, np.int32)
+        self.row[features] = np.arange(1, n)
+        self.weight = np.zeros(n, np.float32)
+        self.factor = (np.random.default_rng(seed).standard_normal((n, FACTORS)) * 0.02).astype(np.float32)
+        self.factor[0] = 0
+
+    def _summed(self, spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The probability for bags of features, given as spans (rows, begins, ends) whose sums a bag adds up."""
+        n = len(spans[0][1])
+        line, apart, both = np.full(n, self.bias), np.zeros(n), np.zeros((n, FACTORS))
+        square = (self.factor**2).sum(1)
+        for rows, begin, end in spans:
+            for out, values in ((line, self.weight), (apart, square), *((both[:, f], self.factor[:, f]) for f in range(FACTORS))):
+                sums = np.concatenate([[0.0], np.cumsum(values[rows], dtype=np.float64)])
+                out += sums[end] - sums[begin]
+        return _probability(line + 0.5 * ((both**2).sum(1) - apart))
 
-    def scores(self, terms: np.ndarray, pairs: np.ndarray, kinds: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    def scores(self, terms: np.ndarray, pairs: np.ndarray, windows: np.ndarray) -> np.ndarray:
         """The probability of abuse for each window, from sums over the places of the text."""
         if not len(windows):
             return np.zeros(0)
         begin, end = windows[:, 0], windows[:, 1]
-        square = (self.factor**2).sum(1)
-        line, apart, both = np.zeros(len(begin)), np.zeros(len(begin)), np.zeros((len(begin), FACTORS))
-        some = kinds >= 0
-        for ids, use, last in ((terms, None, end), (pairs, None, end - 1), (np.maximum(kinds, 0), some, end)):
-            mask = 1.0 if use is None else use.astype(np.float64)
-            for out, values in ((line, self.weight), (apart, square), *((both[:, f], self.factor[:, f]) for f in range(FACTORS))):
-                sums = np.concatenate([[0.0], np.cumsum(values[ids] * mask)])
-                out += sums[last] - sums[begin]
-        return 1 / (1 + np.exp(-np.clip(self.bias + line + 0.5 * ((both**2).sum(1) - apart), -30, 30)))
-
-    def fit(self, bags: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, epochs: int = 5, rate: float = 0.15, seed: int = 3) -> None:
-        """Logistic loss by AdaGrad over shuffled batches; the seed makes it repeatable."""
-        grown_w, grown_v = np.full(BUCKETS, 1e-2, np.float32), np.full((BUCKETS, FACTORS), 1e-2, np.float32)
-        order, draw, grown_b = np.arange(len(bags)), np.random.default_rng(seed), 1e-2
+        return self._summed([(self.row[terms], begin, end), (self.row[pairs], begin, end - 1)])
+
+    def fit(self, bags: Bags, pick: np.ndarray, target: np.ndarray, importance: np.ndarray, epochs: int = 4, rate: float = 0.3, seed: int = 3) -> Machine:
+        """Logistic loss towards the targets (0 to 1) by AdaGrad over shuffled batches; the seed makes it repeatable.
+
+        The sums of squares start at 1, so that a feature of a few windows takes small steps and isn't memorised.
+        """
+        grown_w, grown_v = np.ones(len(self.weight), np.float32), np.ones(self.factor.shape, np.float32)
+        order, draw, grown_b = np.arange(len(pick)), np.random.default_rng(seed), 1e-2
         for _ in range(epochs):
             draw.shuffle(order)
             for at in range(0, len(order), 512):
                 some = order[at : at + 512]
-                sizes = np.array([len(bags[i]) for i in some])
-                ids, starts = np.concatenate([bags[i] for i in some]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                sizes = bags.size[pick[some]]
+                starts = np.cumsum(sizes) - sizes
+                ids = bags.rows[np.repeat(bags.start[pick[some]] - starts, sizes) + np.arange(sizes.sum())]
                 v = self.factor[ids]
                 total = np.add.reduceat(v, starts)
                 score = self.bias + np.add.reduceat(self.weight[ids], starts) + 0.5 * ((total**2).sum(1) - np.add.reduceat((v**2).sum(1), starts))
-                error = ((1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[some]) * importance[some]).astype(np.float32)
+                error = ((_probability(score) - target[some]) * importance[some]).astype(np.float32)
                 each = np.repeat(error, sizes)
                 by_id = np.argsort(ids, kind="stable")
                 sorted_ids = ids[by_id]
@@ -161,98 +162,128 @@ class Machine:
                 self.factor[distinct] -= 0.3 * rate * gv / np.sqrt(grown_v[distinct])
                 grown_b += float(error.sum()) ** 2
                 self.bias -= rate * float(error.sum()) / grown_b**0.5
+        return self
+
+
+@dataclass
+class Bags:
+    """The known features of each window: ``rows[start : start + size]``."""
+
+    rows: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+
+    def scores(self, machine: Machine, pick: np.ndarray) -> np.ndarray:
+        """The machine's probability for the picked windows, over the features between them only."""
+        start = self.start[pick]
+        return machine._summed([(self.rows, start, start + self.size[pick])])
+
+
+def _features(terms: np.ndarray, pairs: np.ndarray, windows: np.ndarray, docs: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, Bags]:
+    """The features of at least LEAST_DOCUMENTS documents, the logarithm of how much more often an abusive document has
+    each (by row of the machine; 0 for row 0), and the bags."""
+    words = windows[:, 1] - windows[:, 0]
+    size = 2 * words - 1
+    start = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(start, size)
+    word = np.repeat(words, size)
+    at = np.repeat(windows[:, 0], size) + place % word
+    flat = np.where(place < word, terms[at], pairs[at])
+    key = np.unique(np.repeat(docs, size) * np.int64(BUCKETS) + flat)
+    in_bad, feature = labels[key // BUCKETS] > 0, key % BUCKETS
+    seen, bad = np.bincount(feature, minlength=BUCKETS), np.bincount(feature[in_bad], minlength=BUCKETS)
+    features = np.flatnonzero(seen >= LEAST_DOCUMENTS)
+    n_bad = int((labels > 0).sum())
+    n_clean = len(labels) - n_bad
+    rare = 0.3 * n_clean / max(n_bad, 1) + 0.3
+    odds = np.log((bad[features] + 0.3) / (n_bad + 1)) - np.log((seen[features] - bad[features] + rare) / (n_clean + 1))
+    row = np.zeros(BUCKETS, np.int32)
+    row[features] = np.arange(1, len(features) + 1)
+    rows = row[flat]
+    known = rows > 0
+    upto = np.concatenate([[0], np.cumsum(known)])
+    return features, np.append(0.0, odds), Bags(rows[known], upto[start], upto[start + size] - upto[start])
+
+
+def _believed(p: np.ndarray, bad: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
+    """How far each window is believed to be abusive, given its document's label, which may be wrong.
+
+    A document is abusive if any of its windows is. The label of one whose windows are all unlikely to be is rather
+    taken for wrong than one of them for abusive.
+    """
+    none = np.exp(np.bincount(docs, np.log1p(-np.clip(p, 0, 1 - 1e-6)), minlength=n))
+    said_bad = WRONG_ABUSIVE * none + (1 - WRONG_CLEAN) * (1 - none)
+    said_clean = (1 - WRONG_ABUSIVE) * none + WRONG_CLEAN * (1 - none)
+    return np.clip(np.where(bad, p * (1 - WRONG_CLEAN) / said_bad[docs], p * WRONG_CLEAN / said_clean[docs]), 0, 1)
+
+
+def threshold(best: np.ndarray, labels: np.ndarray) -> float:
+    """The score between 0.3 and 0.6 from which on documents are told best: by F1 on scores of machines that didn't
+    see them, with the wrong labels that are to be expected taken off the counts."""
+    rightly = 1 - WRONG_ABUSIVE - WRONG_CLEAN
+    cases = (labels.sum() - WRONG_ABUSIVE * len(labels)) / rightly
 
+    def f1(t: float) -> float:
+        found = best >= t
+        return 2 * (labels[found].sum() - WRONG_ABUSIVE * found.sum()) / rightly / max(found.sum() + cases, 1e-9)
 
-def _bags(terms: np.ndarray, pairs: np.ndarray, kinds: np.ndarray, windows: np.ndarray) -> list[np.ndarray]:
-    """The features of each window in a row."""
-    return [np.concatenate([terms[a:b], pairs[a : b - 1], (k := kinds[a:b])[k >= 0]]) for a, b in windows]
+    return max((0.5, 0.45, 0.4, 0.35, 0.3, 0.55, 0.6), key=f1)
 
 
 def train(texts: list[str | None], labels: np.ndarray) -> Machine:
-    """Fits the machine on labelled documents, of which only a sentence may be abusive.
+    """Fits the machine on labelled documents, of which only a sentence may be abusive, and whose labels may be wrong.
 
-    A labelled document's most telling window, at first by how often its terms occur in either class, is taken as
-    abusive; all windows of the others as clean. After a fit the windows are told anew by the machine itself, and
-    documents whose label a machine fitted on the other half can't make sense of (no window of an abusive one looks so,
-    or a clean one does by far) are left out as mislabelled; clean windows that look abusive are added to the fit.
-    Without abusive or clean documents all scores are the low bias of an unfitted machine.
+    At first a window is believed abusive by how much more often its features occur in abusive documents. Then, ROUNDS
+    times, the documents are cut into FOLDS parts, the windows of each part are scored by a machine fitted on the
+    others, and what is believed of them follows from these scores and the labels: a machine can't confirm what it
+    memorised. The last machine is fitted on all, and its bias moved so that the best threshold on the scores of the
+    last round comes to CASE. Without abusive or clean documents all scores are the low bias of an unfitted machine.
     """
     labels = np.asarray(labels, np.float64)
-    reader = Reader()
-    *read, docs = reader.read(texts)
-    windows = read[3]
-    bad = labels[docs] > 0
+    terms, pairs, windows, docs = Reader().read(texts)
+    bad, n = labels[docs] > 0, len(labels)
     if not bad.any() or bad.all():
         return Machine()
-    told = np.flatnonzero(bad)
-    bags = dict(zip(told, _bags(*read[:3], windows[told]), strict=True))
-    clean = np.random.default_rng(1).permutation(np.flatnonzero(~bad))[:MOST_CLEAN]
-    bags |= zip(clean, _bags(*read[:3], windows[clean]), strict=True)
-    score = np.zeros(len(windows))
-    odds = _odds(bags, docs, bad)
-    score[told] = [np.maximum(odds[bags[i]], 0).sum() for i in told]
-    fold = np.random.default_rng(2).integers(0, 2, len(labels))[docs]
-    keep = np.ones(len(windows), bool)
-    for turn in range(2):
-        chosen = _chosen(score, docs, bad, turn > 0) & keep
-        pick = np.sort(np.concatenate([np.flatnonzero(chosen), clean]))
-        after = np.zeros(len(windows))
-        for side in (0, 1):
-            learn = pick[(fold[pick] != side) & keep[pick]]
-            after[fold == side] = _fitted(bags, learn, chosen).scores(*read)[fold == side]
-        score, best = after, _best(after, docs, len(labels))
-        doubt = min(0.2, float(np.median(best[np.unique(docs[bad])])))  # at least half of the abusive labels are believed
-        keep = ~(bad & (best[docs] < doubt)) & ~(~bad & (best[docs] > 0.97))
-        hard = np.flatnonzero(~bad & (score > 0.05))
-        clean = np.union1d(clean, hard)
-        bags |= zip(new := np.array([i for i in hard if i not in bags], int), _bags(*read[:3], windows[new]), strict=True)
-    chosen = _chosen(score, docs, bad, True) & keep
-    if not chosen.any():
-        chosen = _chosen(score, docs, bad, False)
-        keep |= chosen
-    return _fitted(bags, np.sort(np.concatenate([np.flatnonzero(chosen), clean[keep[clean]]])), chosen)
+    features, odds, bags = _features(terms, pairs, windows, docs, labels)
+    if not len(features):
+        return Machine()
+    sums = np.concatenate([[0.0], np.cumsum(np.maximum(odds[bags.rows], 0))])
+    telling = (sums[bags.start + bags.size] - sums[bags.start]) / np.sqrt(np.maximum(bags.size, 1))
+    p = 0.5 * _probability(2 * (telling - np.quantile(telling[~bad], 0.98)))
+    fold = np.random.default_rng(2).integers(0, FOLDS, n)[docs]
+    told, clean = bags.size > 0, np.flatnonzero(~bad & (bags.size > 0))
+    part = min(1.0, CLEAN_WINDOWS / max(len(clean), 1))
+    sample = clean[np.random.default_rng(1).random(len(clean)) < part]
+
+    def fitted(use: np.ndarray) -> Machine:
+        certain = told & (bad | (p > 0.05))
+        pick = np.union1d(sample, np.flatnonzero(certain))
+        pick = pick[use[pick]]
+        return Machine(features).fit(bags, pick, believed[pick], np.where(certain[pick], 1.0, 1 / part))
+
+    for _ in range(ROUNDS):
+        believed, after = _believed(p, bad, docs, n), np.zeros(len(windows))
+        for side in range(FOLDS):
+            after[fold == side] = bags.scores(fitted(fold != side), np.flatnonzero(fold == side))
+        p = after
+    believed = _believed(p, bad, docs, n)
+    machine = fitted(np.ones(len(windows), bool))
+    t = threshold(_best(p, docs, n), labels)
+    machine.bias += float(np.log(CASE / (1 - CASE)) - np.log(t / (1 - t)))
+    return machine
 
 
 def _best(score: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
-    """The highest score in each document."""
-    best = np.full(n, -1.0)
+    """The highest score of each document's windows; 0 for one without windows."""
+    best = np.zeros(n)
     np.maximum.at(best, docs, score)
     return best
 
 
-def _chosen(score: np.ndarray, docs: np.ndarray, bad: np.ndarray, probability: bool) -> np.ndarray:
-    """The windows taken as abusive: the worst of each abusive document, and those the machine is sure of."""
-    best = _best(score, docs, int(docs.max()) + 1)
-    return bad & ((score >= best[docs]) | probability & (score >= 0.5))
-
-
-def _odds(bags: dict[int, np.ndarray], docs: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """How much more often each feature is in abusive documents than in clean ones, as a logarithm."""
-    seen, n = np.zeros((2, BUCKETS)), np.zeros(2)
-    for side in (0, 1):
-        pick = [i for i in bags if bad[i] == bool(side)]
-        key = np.unique(np.concatenate([docs[i] * np.int64(BUCKETS) + bags[i] for i in pick]))
-        np.add.at(seen[side], key % BUCKETS, 1)
-        n[side] = len(np.unique(docs[pick]))
-    odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-    odds[(seen[1] < 2) & (n[1] > 20)] = 0
-    odds[[_kind(i) for i in range(len(KINDS) + 1) if i not in UNTELLING]] += 3.0
-    return odds
-
-
-def _fitted(bags: dict[int, np.ndarray], pick: np.ndarray, chosen: np.ndarray) -> Machine:
-    machine = Machine()
-    if len(pick):
-        machine.fit([bags[i] for i in pick], chosen[pick].astype(np.float64), np.where(chosen[pick], 12.0, 1.0))
-    return machine
-
-
 def document_scores(machine: Machine, reader: Reader, texts: list[str | None]) -> np.ndarray:
     """The highest score of a text's windows; 0 for a text without any word."""
     *read, docs = reader.read(texts)
-    out = np.zeros(len(texts))
-    np.maximum.at(out, docs, machine.scores(*read))
-    return out
+    return _best(machine.scores(*read), docs, len(texts))
 
 
 def fitted(documents: DataFrame, labels: DataFrame) -> Machine:

@@ -20,7 +20,8 @@ def corpus(n=500, seed=1):
 
 
 def test_plain_words():
-    assert [A.plain(x) for x in ("f.u.c.k", "piiiig", "cr3tin", "du**b", "w o r m", "don't")] == ["fuck", "pig", "cretin", "d*b", "worm", "don't"]
+    assert [A.plain(x) for x in ("f.u.c.k", "piiiig", "cr3tin", "du**b", "w o r m", "don't", "5tup!d")] == ["fuck", "pig", "cretin", "d*b", "worm", "don't", "stupid"]
+    assert A.TOKEN.findall("5low you 5tup!d d0g! 45 w h o r e.") == ["5low", "you", "5tup!d", "d0g", "!", "w h o r e", "."]
 
 
 def test_held_out_accuracy_and_wrong_labels():
@@ -33,6 +34,25 @@ def test_held_out_accuracy_and_wrong_labels():
     assert (said == truth.astype(bool)).mean() > 0.97
 
 
+def test_harmless_sentences_beside_wrong_labels_stay_harmless():
+    texts, labels = corpus(1500)
+    wrong = labels.copy()
+    flip = np.random.default_rng(4).random(len(labels)) < 0.02
+    wrong[flip] ^= 1
+    machine = A.train(texts, wrong)
+    calm = ["my idiot phone cut off the swara", "somebody called me a moron and was banned", "the demon is killed in the last verse"]
+    assert A.document_scores(machine, A.Reader(), calm).max() < A.CASE
+    said = A.document_scores(machine, A.Reader(), texts) >= A.CASE
+    assert (said[flip] == labels[flip].astype(bool)).mean() > 0.9
+
+
+def test_threshold_takes_wrong_labels_off():
+    best, labels = np.array([0.9] * 40 + [0.42] * 40 + [0.1] * 920), np.array([1] * 80 + [0] * 920)
+    labels[[100, 300, 500, 700, 900]] = 1
+    assert A.threshold(best, labels) in (0.3, 0.35, 0.4)
+    assert A.threshold(np.zeros(3), np.zeros(3)) == 0.5
+
+
 def test_a_long_text_hides_nothing_and_edges():
     machine = A.train(*corpus())
     long = "the alapana was lovely tonight. " * 20_000 + "you are a filthy moron."

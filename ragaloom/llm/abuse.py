@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +32,14 @@ CASE = 0.5
 #: The character that marks a sentence's end among the words of a text.
 STOP = "\n"
 
-TOKEN = regex.compile(r"\b(?:(?:[^\W\d_][.\-_*]){2,}|(?:[^\W\d_] ){3,})[^\W\d_](?![\w*])|[0-9$@]?[a-zß-ɏḀ-ỿ](?:[a-z0-9ß-ɏḀ-ỿ*@$'’]|!(?=[a-z]))*|[.!?]+(?=[\s\"'”’)]|$)|\n")
-ELONGATED = regex.compile(r"(.)\1\1+")
+_LETTER, _MORE = "a-zß-ɏḀ-ỿ", "*@$'’"
+TOKEN = re.compile(rf"[0-9$@]?[{_LETTER}][{_LETTER}0-9{_MORE}]*(?:![{_LETTER}][{_LETTER}0-9{_MORE}]*)*|[.!?]+(?=[\s\"'”’)]|$)|\n")
+ELONGATED = re.compile(r"(.)\1\1+")
 DIGITS = str.maketrans("013457@$!", "oieastasi")
 
 
 def plain(word: str) -> str:
-    """A word without the marks that hide it: drawn-out letters, digits for letters, letters set apart."""
-    if len(word) > 4 and all(c in ".-_* " for c in word[1::2]) and not any(c in ".-_* " for c in word[::2]):
-        word = word[::2]
+    """A word without the marks that hide it: drawn-out letters, digits for letters. Of a masked one its ends are left."""
     word = ELONGATED.sub(r"\1", word)
     if "*" in word:
         return word[:1].translate(DIGITS) + "*" + word[-1:]
@@ -56,7 +55,7 @@ class Reader:
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {STOP: 0}
-        self.word = [0]
+        self.word, self.letter = [0], [""]
 
     def number(self, token: str) -> int:
         """The token's number in this reader; 0 for a sentence's end."""
@@ -67,10 +66,22 @@ class Reader:
         if n is None:
             n = self.known["=" + word] = len(self.word)
             self.word.append(_hash(word) or 1)
+            self.letter.append(word if len(word) == 1 else "")
         if len(self.known) < 2_000_000:
             self.known[token] = n
         return n
 
+    def together(self, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Letters set apart, three or more in a row, as the word they make up."""
+        alone = np.array([x != "" for x in self.letter])[at]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], alone, [False]]).astype(np.int8)))
+        begin, end = edges[::2], edges[1::2]
+        keep = np.ones(len(at), bool)
+        for a, b in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist(), strict=True):
+            at[a] = self.number("".join(self.letter[n] for n in at[a:b].tolist()))
+            keep[a + 1 : b] = False
+        return at[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
+
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(terms, pairs, windows, documents): the hashed word at each place, the hashed pair of it and the next, the
         places where windows begin and end, and the document of each window."""
@@ -81,7 +92,7 @@ class Reader:
                 numbers.append(number(token) if n is None else n)
             numbers.append(0)
             ends.append(len(numbers))
-        at = np.asarray(numbers, np.int64)
+        at, stop = self.together(np.asarray(numbers, np.int64), np.asarray(ends, np.int64))
         hashes = np.asarray(self.word, np.int64)[at]
         terms = hashes % BUCKETS
         pairs = (hashes * 31 + np.append(hashes[1:], 0) * 1_000_003) % BUCKETS
@@ -91,7 +102,7 @@ class Reader:
         steps = np.maximum(1, -(-(end - begin - WINDOW) // STRIDE) + 1)
         first = np.repeat(begin, steps) + STRIDE * (np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps))
         windows = np.stack([first, np.minimum(first + WINDOW, np.repeat(end, steps))], axis=1)
-        return terms, pairs, windows, np.searchsorted(np.asarray(ends), windows[:, 0], "right")
+        return terms, pairs, windows, np.searchsorted(stop, windows[:, 0], "right")
 
 
 def _probability(score: np.ndarray) -> np.ndarray:

@@ -20,8 +20,14 @@ def corpus(n=500, seed=1):
 
 
 def test_plain_words():
-    assert [A.plain(x) for x in ("f.u.c.k", "piiiig", "cr3tin", "du**b", "w o r m", "don't", "5tup!d")] == ["fuck", "pig", "cretin", "d*b", "worm", "don't", "stupid"]
-    assert A.TOKEN.findall("5low you 5tup!d d0g! 45 w h o r e.") == ["5low", "you", "5tup!d", "d0g", "!", "w h o r e", "."]
+    assert [A.plain(x) for x in ("piiiig", "cr3tin", "du**b", "don't", "5tup!d")] == ["pig", "cretin", "d*b", "don't", "stupid"]
+    assert A.TOKEN.findall("5low you 5tup!d d0g! 45 w h.") == ["5low", "you", "5tup!d", "d0g", "!", "w", "h", "."]
+
+
+def test_letters_set_apart_make_a_word():
+    read = A.Reader()
+    plain, apart = read.read(["you fucking old worm. no", "a b"]), read.read(["you f.u.c.k.i.n.g old w o r m. no", "a b"])
+    assert all((x == y).all() for x, y in zip(plain, apart, strict=True))
 
 
 def test_held_out_accuracy_and_wrong_labels():

@@ -127,13 +127,19 @@ def entry_words(name: str) -> set[str]:
     return {s for part in name.split("/") if (joined := "".join(WORD.findall(fold(part)))) for s in spellings(joined)}
 
 
+def reach(word: str) -> int:
+    """Plain edits within which every name lies that is near enough: a name is at most as much longer as the edits allow,
+    and a swap is two plain edits."""
+    return 2 * int(EDITS_PER_LETTER * len(word) / (1 - EDITS_PER_LETTER) + 1e-9)
+
+
 def closest(tree: Tree, value: str) -> list[tuple[float, int, int]]:
     """(edits for each letter, edits, entry) of the entries nearest to a reading of the value and near enough."""
     best: list[tuple[float, int, int]] = []
     for word in readings(value):
-        for d, name in tree.within(word, int(len(word) * EDITS_PER_LETTER * 1.5) + 1):
-            edits = damerau(word, name)
-            if edits <= EDITS_PER_LETTER * max(len(name), len(word)):
+        for d, name in tree.within(word, reach(word)):
+            most = EDITS_PER_LETTER * max(len(name), len(word))
+            if d <= 2 * most and (edits := damerau(word, name)) <= most:
                 best += [(edits / len(name), d, e) for e in tree.ids[name]]
     return best
 
@@ -141,8 +147,9 @@ def closest(tree: Tree, value: str) -> list[tuple[float, int, int]]:
 def resolved(values: DataFrame, reference: DataFrame) -> DataFrame:
     """(value, entry_id) for each distinct value; 0 if it means none of ``reference`` (entry_id int, entry_name).
 
-    The reference is cut into shards of SHARD entries; each builds a BK-tree under edit distance, so all entries within
-    the threshold are found, and the shards' winners merge to the one with the fewest edits a letter, then the fewest
+    The reference is cut into shards of SHARD entries; each builds a BK-tree under plain edit distance, which is a true
+    metric, and asks it for twice the edits that are accepted, since a swap of neighbours counts once in the end and
+    twice in the tree. So all entries within the threshold are found, and the shards' winners merge to the one with the fewest edits a letter, then the fewest
     plain edits, then the smallest id. Values that equal an entry's name as stored mean that entry. Null values are left
     out; blank ones mean none.
     """

@@ -25,6 +25,23 @@ def test_distance_and_tree_equal_brute_force():
     assert C.damerau("ab", "ba") == 1 and C.levenshtein("", "abc", 9) == 3
 
 
+def test_swaps_lose_no_entry():
+    r = random.Random(7)
+    names = sorted({"".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 13))) for _ in range(250)})
+    tree = C.Tree([(n, i) for i, n in enumerate(names)])
+    for name in names:
+        word = list(name)
+        for _ in range(r.randrange(0, 4)):
+            i = r.randrange(len(word) - 1)
+            word[i : i + 2] = word[i + 1], word[i]
+        word = "".join(word)
+        for read in C.readings(word):
+            want = {i for i, n in enumerate(names) if C.damerau(read, n) <= C.EDITS_PER_LETTER * max(len(n), len(read))}
+            got = {names.index(n) for _, n in tree.within(read, C.reach(read)) if C.damerau(read, n) <= C.EDITS_PER_LETTER * max(len(n), len(read))}
+            assert got == want
+    assert C.closest(C.Tree([("abcdefghij", 4)]), "bacedfhgij") == [(0.3, 6, 4)]
+
+
 VOCABULARY = [(1, "Thathēḍiri"), (2, "Jehoroto"), (3, "Purava jehoroto"), (4, "Dīchega/Bachomumi"), (5, "Vīśini")]
 
 

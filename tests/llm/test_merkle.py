@@ -1,6 +1,8 @@
 from itertools import permutations
 
-from ragaloom.llm.merkle import classes, collapsed, copies, is_arrangement, leaves
+import pandas as pd
+
+from ragaloom.llm.merkle import classes, collapsed, columns_node, copies, is_arrangement, leaves, title_node
 
 ROWS = [
     (1, "Hītī sētū; padalam; Sorati", "a", None, "t1"),
@@ -45,3 +47,18 @@ def test_arrangements_equal_brute_force():
         assert not is_arrangement(parts, "z" + "".join(parts)[1:]) and not is_arrangement(parts, "".join(parts) + parts[0])
     assert classes(["a\x1fb", "b\x1fa", "ba", "c"]) == [0, 0, 0, 1]
     assert leaves(" - A.b -  C/ ") == ["ab", "c"]
+
+
+def test_digests_are_of_parts_and_columns(spark):
+    node = title_node(pd.Series(["Hītī; Sorati", "sorati / HĪTĪ", "Hītī Sorati", "Hīt; īSorati"]))
+    assert node["node"][0] == node["node"][1] and len(set(node["node"])) == 3 and len(set(node["letters"])) == 1
+    df = spark.createDataFrame([("x", None, 1, [1]), (None, "x", 1, [1]), ("x", None, 1, [1]), ("x", None, 1, [2]), ("", None, 1, [1])], "a string, b string, c int, d array<int>")
+    first, second, third, fourth, fifth = [r[0] for r in df.select(columns_node(df, df.columns)).collect()]
+    assert first == third and len({bytes(x) for x in (first, second, fourth, fifth)}) == 4
+    turned = df.select("d", "c", "b", "a")
+    assert turned.select(columns_node(turned, turned.columns)).first()[0] == first
+
+
+def test_a_changed_digest_cannot_merge_other_texts():
+    assert classes(["ab\x1fc", "c\x1fab", "abc", "cab", "a\x1fbc", "bca"]) == [0, 0, 0, 0, 0, 0]
+    assert classes(["ab", "ba", "a\x1fbc"]) == [0, 1, 2]

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from math import log
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragaloom.operators.skew import attach
 from ragaloom.session import Written
 
-#: Components of more than this part of all rows (fewer than 1 / HEAVY) are placed one by one, the rest by hashing alone.
-HEAVY = 1 / 1000
-
 
 def _sum(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("v", "u") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -49,38 +43,22 @@ def stars(members: DataFrame, member: str, keys: list[str]) -> DataFrame:
     return attach(pairs, least, keys, "inner").select(F.col(member).alias("a"), "b").filter("a <> b")
 
 
-def _uniform(component: str, split: str) -> str:
-    """SQL for a number in (0, 1) that depends on the component and the split."""
-    return f"((shiftrightunsigned(xxhash64({component}, '{split}'), 12) + 0.5D) / {float(1 << 52)!r}D)"
+def _uniform(component: str, split: str, salt: str) -> str:
+    """SQL for a number in (0, 1) that depends on the component, the split and the salt."""
+    return f"((shiftrightunsigned(xxhash64({component}, '{split}', '{salt}'), 12) + 0.5D) / {float(1 << 52)!r}D)"
 
 
-def assign_splits(sizes: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """(component, split_name) for ``sizes`` (component string, n_rows long), each component once.
+def assign_splits(components: DataFrame, shares: dict[str, float], salt: str = "") -> DataFrame:
+    """``components`` (component string and any other columns but split_name) with each one's ``split_name``. No shuffle.
 
-    Weighted rendezvous hashing: a component goes to the split of the least -ln(u) / weight, u being a hash of both.
-    Heavy components would upset the shares: they are taken first, largest first, each to the first split in its
-    rendezvous order that has room for it, else to the split with most room. The room that is left gives the weights
-    for all others. The result depends on the components and shares only, not on order or partitioning. A null
-    component is left out. Shares are scaled to a sum of 1; names must be without quotes.
+    Weighted rendezvous hashing: a component goes to the split of the least -ln(u) / share, u being a hash of both. So
+    the split depends on the component, the shares and the salt alone: rows that are added move no other component, and
+    a changed share moves only the components that it must. The price is that a component of a large part of all rows
+    takes its split's share with it; another salt gives another draw. A null component gets no split. Shares are scaled
+    to a sum of 1; names and salt must be without quotes.
     """
-    names = sorted(shares)
-    if not names or any("'" in s or "\\" in s for s in names) or min(shares.values()) < 0 or sum(shares.values()) <= 0:
+    if not shares or any("'" in s or "\\" in s for s in (*shares, salt)) or min(shares.values()) < 0 or sum(shares.values()) <= 0:
         raise ValueError("shares must be positive, and their names without quotes")
-    held = Written(sizes.dropna(subset=["component"]), "sizes").df
-    total = held.agg(F.sum("n_rows")).first()[0] or 0
-    room = {s: shares[s] / sum(shares.values()) * total for s in names}
-    heavy = held.filter(F.col("n_rows") > F.lit(total * HEAVY)).select("component", "n_rows", *[F.expr(_uniform("component", s)).alias(f"u_{i}") for i, s in enumerate(names)])
-    placed = []
-    for row in sorted(heavy.collect(), key=lambda r: (-r["n_rows"], r["component"])):
-        order = sorted((s for s in names if room[s] > 0), key=lambda s: -log(row[f"u_{names.index(s)}"]) / room[s])
-        to = next((s for s in order if room[s] >= row["n_rows"]), None) or max(names, key=lambda s: (room[s], s))
-        room[to] -= row["n_rows"]
-        placed.append((row["component"], to))
-    weights = {s: max(room[s], 0.0) for s in names}
-    if not any(weights.values()):
-        weights = {s: shares[s] for s in names}
-    ranked = [F.struct(F.expr(f"-ln({_uniform('component', s)}) / {weights[s]!r}D").alias("score"), F.lit(s).alias("split_name")) for s in names if weights[s] > 0]
+    ranked = [F.struct(F.expr(f"-ln({_uniform('component', s, salt)}) / {shares[s]!r}D").alias("score"), F.lit(s).alias("split_name")) for s in sorted(shares) if shares[s] > 0]
     by_hash = (F.least(*ranked) if len(ranked) > 1 else ranked[0])["split_name"]
-    spark = held.sparkSession
-    table = F.broadcast(spark.createDataFrame(pd.DataFrame(placed, columns=["component", "placed"]).astype(str), "component string, placed string"))
-    return held.join(table, "component", "left").select("component", F.coalesce("placed", by_hash).alias("split_name"))
+    return components.withColumn("split_name", F.when(F.col("component").isNotNull(), by_hash))

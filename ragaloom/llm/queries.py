@@ -42,18 +42,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _union(g.select(F.lit(name).alias("table_name"), "member_key", "group_key") for name, g in _groups(spark, sf_dir).items())
 
 
+def _split_targets(spark: SparkSession, sf_dir: str) -> dict[str, float]:
+    return {r["split_name"]: r["share"] for r in table(spark, sf_dir, "split_targets").collect()}
+
+
 def p2_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split of every track and listing."""
-    shares = {r["split_name"]: r["share"] for r in table(spark, sf_dir, "split_targets").collect()}
-    members = {"tracks_meta": "track_id", "scraped_compositions": "artist"}
+    shares, members = _split_targets(spark, sf_dir), {"tracks_meta": "track_id", "scraped_compositions": "artist"}
     return _union(splits.assigned(table(spark, sf_dir, name), members[name], g, shares).select(F.lit(name).alias("table_name"), "row_id", "group_key", "split_name") for name, g in _groups(spark, sf_dir).items())
 
 
 def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each split, and their part of the table."""
-    counts = p2_assignment(spark, sf_dir).groupBy("table_name", "split_name").agg(F.count("*").alias("n_rows"))
-    whole = counts.groupBy("table_name").agg(F.sum("n_rows").alias("whole"))
-    return counts.join(F.broadcast(whole), "table_name").select("table_name", "split_name", "n_rows", F.round(F.col("n_rows") / F.col("whole"), 6).alias("part"))
+    """Rows of each split, their part of the table, its target, and the part of the split's largest group."""
+    return splits.shares_of(p2_assignment(spark, sf_dir), _split_targets(spark, sf_dir))
 
 
 ENTERED = (("scraped_compositions", "raga"), ("scraped_compositions", "raga_canonical"), ("lyrics_catalog", "raga"))

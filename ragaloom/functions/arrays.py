@@ -95,16 +95,24 @@ def pooled(values: Column, factor: int = 4) -> Column:
 
 
 def interpolated(values: Column) -> Column:
-    """Zeros filled by straight lines between their neighbours; before the first and after the last value held."""
+    """Zeros filled by straight lines between their neighbours; before the first and after the last value held.
+
+    Each value that isn't 0 writes the places from its own to the next one's, so the work follows the length.
+    """
     known = F.filter(F.transform(values, lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x"))), lambda s: s["x"] != 0)
 
     def filled(k: Column) -> Column:
-        def at(x: Column, i: Column) -> Column:
-            before, after = F.try_element_at(F.filter(k, lambda s: s["i"] <= i), F.lit(-1)), F.get(F.filter(k, lambda s: s["i"] >= i), F.lit(0))
-            line = before["x"] + (after["x"] - before["x"]) * (i - before["i"]) / (after["i"] - before["i"])
-            return F.when(x != 0, x).otherwise(F.coalesce(line, before["x"], after["x"]))
+        n = F.size(k)
+        first, last = F.get(k, F.lit(0)), F.get(k, n - 1)
+
+        def stretch(j: Column) -> Column:
+            before, after = F.get(k, j), F.get(k, j + 1)
+            slope = (after["x"] - before["x"]) / (after["i"] - before["i"])
+            return F.transform(F.sequence(before["i"], after["i"] - 1), lambda i: before["x"] + slope * (i - before["i"]))
 
-        return F.when(F.size(k) > 0, F.transform(values, at)).otherwise(values)
+        between = F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), stretch))).otherwise(F.array().cast("array<double>"))
+        whole = F.concat(F.array_repeat(first["x"], first["i"]), between, F.array_repeat(last["x"], F.size(values) - last["i"]))
+        return F.when(n > 0, whole).otherwise(values.cast("array<double>"))
 
     return let(known, filled)
 
@@ -177,3 +185,15 @@ def softmax(values: Column) -> Column:
 def argmax(values: Column) -> Column:
     """The first place of the greatest value, from 0."""
     return F.array_position(values, F.array_max(values)).cast("int") - 1
+
+
+def band_means(values: Column, bands: int = 24) -> Column:
+    """Means of ``bands`` stretches of nearly one length; 0 for a stretch without values."""
+
+    def body(v: Column) -> Column:
+        n = F.size(v)
+        begin = lambda b: F.floor(b * n / bands).cast("int")
+        stretch = lambda b: let(F.slice(v, begin(b) + 1, begin(b + 1) - begin(b)), lambda x: F.when(F.size(x) > 0, total(x) / F.size(x)).otherwise(F.lit(0.0)))
+        return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), stretch)
+
+    return let(values, body)

@@ -51,3 +51,8 @@ def clamped(x: Column) -> Column:
     """Into [0, 1]; null and not finite values give 0."""
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return F.when(finite, F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))).otherwise(F.lit(0.0))
+
+
+def duration(samples: Column, rate: Column) -> Column:
+    """Seconds of so many samples; 0 where the rate is 0."""
+    return F.coalesce(F.try_divide(samples.cast("double"), rate), F.lit(0.0))

@@ -9,12 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Names of concert forms, which aren't compositions.
-FORMS = (
-    "varnam|rtp|ragam tanam pallavi|ragam thanam pallavi|raga tanam pallavi|tillana|thillana|slokam|slokham|sloka|alapana|alapanai|viruttam|virutham|"
-    "niraval|swaram|kalpanaswaram|tani|thani|tani avartanam|thani avartanam|mangalam|pallavi|anupallavi|charanam|ragam|thanam|tanam|vocal|shlokam"
-).split("|")
+FORMS = [
+    "varnam", "rtp", "ragam tanam pallavi", "ragam thanam pallavi", "raga tanam pallavi", "tillana", "thillana", "slokam", "slokham", "sloka",
+    "alapana", "alapanai", "viruttam", "virutham", "niraval", "swaram", "kalpanaswaram", "tani", "thani", "tani avartanam", "thani avartanam",
+    "mangalam", "pallavi", "anupallavi", "charanam", "ragam", "thanam", "tanam", "vocal", "shlokam",
+]
 # Instruments that stand where a listing has its raga.
-INSTRUMENTS = "violin mridangam kanjira ghatam morsing morching flute veena tambura tanpura khanjira konnakkol".split()
+INSTRUMENTS = [
+    "violin", "mridangam", "kanjira", "ghatam", "morsing", "morching", "flute", "veena", "tambura", "tanpura", "khanjira", "konnakkol",
+]
 # Languages in the order in which they are looked for.
 LANGUAGES = ("Telugu", "Sanskrit", "Tamil", "Kannada", "Malayalam")
 # Spellings of the talas, by canonical name.
@@ -123,3 +126,8 @@ def prompt(name: Column, composer: Column, raga: Column, tala_name: Column, lang
     second = F.when(anupallavi != "", F.array(F.concat(F.lit("\nAnupallavi:\n"), anupallavi))).otherwise(F.array().cast("array<string>"))
     lines = F.concat(F.array(*head, F.lit(""), F.lit("Lyrics:"), F.concat(F.lit("Pallavi:\n"), pallavi)), second, verses, F.array(F.lit("\nExplain the meaning of these lyrics in English.")))
     return F.array_join(lines, "\n")
+
+
+def utc_now() -> Column:
+    """The time of the query in UTC, as ISO 8601 with microseconds and offset."""
+    return F.concat(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))

@@ -45,6 +45,27 @@ def trimmed(audio: np.ndarray, threshold_db: float = -40.0, frame: int = 2048, h
     return audio[starts[loud[0]] : starts[loud[-1]] + frame] if len(loud) and rms.max() > 0 else audio[:0]
 
 
+def _normal_differences(audio: np.ndarray, at: int, frame: int, longest: int) -> tuple[np.ndarray, float]:
+    """YIN's cumulative mean normalised difference for lags 0 to ``longest``, and the power of the frame."""
+    x = np.zeros(frame + longest)
+    part = audio[at : at + frame + longest].astype(np.float64)
+    x[: len(part)] = part
+    size = 1 << (2 * len(x) - 1).bit_length()
+    correlation = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(x[:frame], size)), size)[: longest + 1]
+    power = np.concatenate([[0.0], np.cumsum(x**2)])
+    difference = power[frame] + power[frame : frame + longest + 1] - power[: longest + 1] - 2 * correlation
+    normal = np.ones(longest + 1)
+    normal[1:] = difference[1:] * np.arange(1, longest + 1) / np.maximum(np.cumsum(difference[1:]), 1e-12)
+    return normal, float(power[frame])
+
+
+def _between(normal: np.ndarray, lag: int) -> float:
+    """The lag of the parabola through a lag and its neighbours."""
+    a, b, c = normal[lag - 1], normal[lag], normal[min(lag + 1, len(normal) - 1)]
+    bend = a - 2 * b + c
+    return lag + (0.5 * (a - c) / bend if abs(bend) > 1e-12 else 0.0)
+
+
 def pitch_track(audio: np.ndarray, rate: int, low: float = 60.0, high: float = 1000.0, frame: int = 2048, hop: int = 512, threshold: float = 0.15) -> np.ndarray:
     """Frequencies by YIN; 0 where no period is clear. Frames are padded at the end."""
     if not len(audio):
@@ -53,27 +74,82 @@ def pitch_track(audio: np.ndarray, rate: int, low: float = 60.0, high: float = 1
     shortest = max(2, int(rate / high))
     out = []
     for at in range(0, len(audio), hop):
-        x = np.zeros(frame + longest)
-        part = audio[at : at + frame + longest].astype(np.float64)
-        x[: len(part)] = part
-        size = 1 << (2 * len(x) - 1).bit_length()
-        own = x[:frame]
-        correlation = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(own, size)), size)[: longest + 1]
-        power = np.concatenate([[0.0], np.cumsum(x**2)])
-        difference = power[frame] + power[frame : frame + longest + 1] - power[: longest + 1] - 2 * correlation
-        lags = np.arange(1, longest + 1)
-        normal = np.ones(longest + 1)
-        normal[1:] = difference[1:] * lags / np.maximum(np.cumsum(difference[1:]), 1e-12)
+        normal, power = _normal_differences(audio, at, frame, longest)
         under = np.flatnonzero(normal[shortest:longest] < threshold)
-        if power[frame] < 1e-8 or not len(under):
+        if power < 1e-8 or not len(under):
             out.append(0.0)
             continue
         lag = shortest + under[0]
         while lag + 1 < longest and normal[lag + 1] < normal[lag]:
             lag += 1
-        a, b, c = normal[lag - 1], normal[lag], normal[min(lag + 1, longest)]
-        bend = a - 2 * b + c
-        out.append(rate / (lag + (0.5 * (a - c) / bend if abs(bend) > 1e-12 else 0.0)))
+        out.append(rate / _between(normal, lag))
+    return np.asarray(out)
+
+
+def pitch_candidates(normal: np.ndarray, shortest: int, prior: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """(frequencies, probabilities) of a frame's periods: a threshold of each prior's height takes the first dip under it,
+    and where there is none the deepest dip with a hundredth of its weight. ``prior`` is of thresholds 0.01, 0.02, ..."""
+    inner = normal[shortest:-1]
+    dips = shortest + np.flatnonzero((inner < normal[shortest - 1 : -2]) & (inner <= normal[shortest + 1 :]))
+    if not len(dips):
+        return np.zeros(0), np.zeros(0)
+    under = normal[dips][None, :] < (np.arange(1, len(prior) + 1) / len(prior))[:, None]
+    first, some = under.argmax(1), under.any(1)
+    weight = np.bincount(first[some], prior[some], minlength=len(dips))
+    weight[np.argmin(normal[dips])] += 0.01 * prior[~some].sum()
+    keep = weight > 0
+    return rate / np.array([_between(normal, d) for d in dips[keep]]), weight[keep]
+
+
+def probable_pitch_track(audio: np.ndarray, rate: int, low: float = 65.40639132514966, high: float = 2093.004522404789, frame: int = 2048, hop: int = 128, steps: int = 5, switch: float = 0.01) -> np.ndarray:
+    """Frequencies by probabilistic YIN, 0 where unvoiced: candidates of every frame by a distribution of thresholds, of
+    which a hidden Markov model picks a steady path. The range is C2 to C7; a semitone has ``steps`` places."""
+    if not len(audio):
+        return np.zeros(0)
+    longest, shortest = min(int(rate / low) + 1, frame - 2), max(2, int(rate / high))
+    t = np.arange(1, 101) / 100
+    prior = t * (1 - t) ** 17
+    prior /= prior.sum()
+    places = int(np.ceil(12 * steps * np.log2(high / low))) + 1
+    reach = max(1, int(round(steps * 35.92 * 12 * hop / rate)))  # pitch moves by 35.92 octaves a second at most
+    slope = np.arange(1, reach + 2, dtype=float)
+    moves = np.log(np.concatenate([slope, slope[-2::-1]]) / (reach + 1) ** 2)
+    stay, change, floor = np.log(1 - switch), np.log(switch), 1e-12
+    score, back, heard = None, [], []
+    for at in range(0, len(audio), hop):
+        normal, power = _normal_differences(audio, at, frame, longest)
+        hz, weight = pitch_candidates(normal, shortest, prior, rate) if power >= 1e-8 else (np.zeros(0), np.zeros(0))
+        fine = (hz >= low) & (hz <= high)
+        voiced, exact = np.zeros(places), np.zeros(places)
+        best = np.zeros(places)
+        for f, w in zip(hz[fine], weight[fine], strict=True):
+            i = int(round(12 * steps * np.log2(f / low)))
+            voiced[i] += w
+            if w > best[i]:
+                best[i], exact[i] = w, f
+        heard.append(exact)
+        silent = max(1 - voiced.sum(), floor) / places
+        now = np.log(np.concatenate([voiced, np.full(places, silent)]) + floor)
+        if score is None:
+            score = now - np.log(2 * places)
+            continue
+        halves = []
+        for half in (score[:places], score[places:]):
+            wide = np.lib.stride_tricks.sliding_window_view(np.pad(half, reach, constant_values=-np.inf), 2 * reach + 1) + moves
+            to = wide.argmax(1)
+            halves.append((wide[np.arange(places), to], to + np.arange(places) - reach))
+        (a, from_a), (b, from_b) = halves
+        into_voiced, into_silent = a + stay >= b + change, b + stay >= a + change
+        back.append(np.concatenate([np.where(into_voiced, from_a, from_b + places), np.where(into_silent, from_b + places, from_a)]))
+        score = now + np.concatenate([np.where(into_voiced, a + stay, b + change), np.where(into_silent, b + stay, a + change)])
+    state = int(np.argmax(score))
+    path = [state]
+    for step in reversed(back):
+        state = int(step[state])
+        path.append(state)
+    out = []
+    for s, exact in zip(reversed(path), heard, strict=True):
+        out.append(0.0 if s >= places else exact[s] or low * 2 ** (s / (12 * steps)))
     return np.asarray(out)
 
 

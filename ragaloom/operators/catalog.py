@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragaloom.functions import text
-from ragaloom.operators.skew import BROADCAST_BYTES, attach
+from ragaloom.operators.skew import attach
 from ragaloom.session import Written
 
-#: A vocabulary for fuzzy matching may have this many names at most; it goes to every task.
-MOST_NAMES = 200_000
+#: Names of a vocabulary that go to the tasks at a time for fuzzy matching.
+NAMES_AT_ONCE = 20_000
 
 
 def latest(df: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -45,25 +46,41 @@ def search(df: DataFrame, column: str, part: str) -> DataFrame:
     return df.filter(text.like(F.col(column), part))
 
 
+def _grams(text_column: Column, size: Column) -> Column:
+    """The distinct runs of ``size`` characters of a text."""
+    starts = F.sequence(F.lit(1), F.char_length(text_column) - size + 1)
+    runs = F.transform(starts, lambda i: F.substr(text_column, i, size))
+    return F.when(F.char_length(text_column) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
 def found_by_title(catalog: DataFrame, titles: DataFrame) -> DataFrame:
     """(wanted, title): the exact title, else the smallest title that contains the wanted text; null if none does.
 
-    Only wanted texts that aren't found exactly are searched for in all titles, all at once up to BROADCAST_BYTES
-    of Parquet, beyond in blocks by hash of about half that size. % and _ in them are wild, and the case of A to Z doesn't count.
+    Only wanted texts that aren't found exactly are searched for. % and _ in them are wild, and the case of A to Z
+    doesn't count. Titles are indexed by their runs of three letters; a wanted text asks for the rarest of its own (of
+    two or one letters, if it has no longer run between wild ones), and what shares that is compared with LIKE. So no
+    text meets all titles, but one that has nothing except wild characters.
     """
-    names = catalog.select("title").dropna().distinct()
+    names = Written(catalog.select("title").dropna().distinct().withColumn("low", text.ascii_lower(F.col("title"))), "titles").df
     wanted = Written(titles.select(F.col(titles.columns[0]).alias("wanted")).dropna().distinct(), "wanted").df
-    exact = wanted.join(names.withColumnRenamed("title", "wanted"), "wanted", "left_semi").withColumn("title", F.col("wanted"))
-    rest = Written(wanted.join(exact, "wanted", "left_anti"), "rest")
-    pattern = F.concat(F.lit("%"), F.replace(text.ascii_lower(F.col("wanted")), F.lit("\\"), F.lit("\\\\")), F.lit("%")).alias("pattern")
-    blocks = 1 if rest.bytes <= BROADCAST_BYTES else -(-2 * rest.bytes // BROADCAST_BYTES)
-    near = None
-    for i in range(blocks):
-        asked = F.broadcast(rest.df.filter(F.pmod(F.xxhash64("wanted"), F.lit(blocks)) == i).select("wanted", pattern))
-        one = names.join(asked, F.like(text.ascii_lower(F.col("title")), F.col("pattern"))).groupBy("wanted").agg(F.min("title").alias("title"))
-        one = one if blocks == 1 else Written(one, "near").df
-        near = one if near is None else near.unionByName(one)
-    return exact.unionByName(rest.df.join(near, "wanted", "left"))
+    exact = wanted.join(names.select(F.col("title").alias("wanted")), "wanted", "left_semi").withColumn("title", F.col("wanted"))
+    low = text.ascii_lower(F.col("wanted"))
+    pattern = F.concat(F.lit("%"), F.replace(low, F.lit("\\"), F.lit("\\\\")), F.lit("%")).alias("pattern")
+    pieces = F.split(low, "[%_]")
+    size = F.least(F.lit(3), F.array_max(F.transform(pieces, F.char_length))).alias("size")
+    rest = Written(wanted.join(exact, "wanted", "left_anti").select("wanted", pattern, pieces.alias("pieces"), size), "rest").df
+    sizes = sorted(r[0] for r in rest.select("size").distinct().collect())  # of 0 to 3
+    index = [names.select("title", "low", F.explode(_grams(F.col("low"), F.lit(n))).alias("gram")) for n in sizes if n]
+    near = [names.join(F.broadcast(rest.filter("size = 0").select("wanted", "pattern")), F.like(F.col("low"), F.col("pattern"))).select("wanted", "title")] if 0 in sizes else []
+    if index:
+        held = Written(reduce(DataFrame.unionByName, index), "grams").df
+        counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+        asked = rest.filter("size > 0").select("wanted", "pattern", F.explode(F.array_distinct(F.flatten(F.transform("pieces", lambda p: _grams(p, F.col("size")))))).alias("gram"))
+        # a run that no title has sorts first, and finds nothing
+        rarest = asked.join(counts, "gram", "left").groupBy("wanted", "pattern").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+        near.append(held.join(rarest, "gram").filter(F.like(F.col("low"), F.col("pattern"))).select("wanted", "title"))
+    found = reduce(DataFrame.unionByName, near).groupBy("wanted").agg(F.min("title").alias("title")) if near else exact.limit(0)
+    return exact.unionByName(rest.select("wanted").join(found, "wanted", "left"))
 
 
 def fold_index(vocabulary: DataFrame, name: str) -> DataFrame:
@@ -74,18 +91,28 @@ def fold_index(vocabulary: DataFrame, name: str) -> DataFrame:
     return latest(keyed, ["key"], "p", "seq").select("key", "canonical")
 
 
-def close_names(words: DataFrame, names: list[str], cutoff: float = 0.6) -> DataFrame:
-    """(key, near): for each distinct key the name of highest Ratcliff-Obershelp ratio from the cutoff on, the largest of equals."""
-    if len(names) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} names")
-    shared = words.sparkSession.sparkContext.broadcast(sorted(set(names)))
+def close_names(words: DataFrame, names: DataFrame, cutoff: float = 0.6) -> DataFrame:
+    """(key, near): for each distinct key the name of highest Ratcliff-Obershelp ratio from the cutoff on, the largest of equals.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            near = [(difflib.get_close_matches(k, shared.value, 1, cutoff) or [None])[0] for k in batch["key"]]
-            yield pd.DataFrame({"key": batch["key"], "near": pd.Series(near, dtype=object)})
+    ``names`` (one column) goes to the tasks in shards of about NAMES_AT_ONCE, whose best are merged; the shards are
+    fetched one after the other, so a vocabulary of any size may be searched.
+    """
+    held = Written(names.toDF("name").dropna().distinct(), "names").df
+    wanted = words.select("key").dropna().distinct()
+    shards, found = max(1, -(-held.count() // NAMES_AT_ONCE)), []
+    for shard in range(shards):
+        shared = words.sparkSession.sparkContext.broadcast(sorted(r[0] for r in held.filter(F.pmod(F.xxhash64("name"), F.lit(shards)) == shard).collect()))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                near = [(difflib.get_close_matches(k, shared.value, 1, cutoff) or [None])[0] for k in batch["key"]]
+                ratio = [None if n is None else difflib.SequenceMatcher(None, n, k).ratio() for n, k in zip(near, batch["key"], strict=True)]
+                yield pd.DataFrame({"key": batch["key"], "near": pd.Series(near, dtype=object), "ratio": pd.Series(ratio, dtype="float64")})
 
-    return words.select("key").dropna().distinct().mapInPandas(run, "key string, near string")
+        found.append(wanted.mapInPandas(run, "key string, near string, ratio double"))
+    if shards == 1:
+        return found[0].select("key", "near")
+    return reduce(DataFrame.unionByName, found).groupBy("key").agg(F.max(F.when(F.col("near").isNotNull(), F.struct("ratio", "near"))).alias("best")).select("key", F.col("best.near").alias("near"))
 
 
 def resolved(spellings: DataFrame, hand: DataFrame, index: DataFrame, cutoff: float = 0.6, fuzzy: bool = True) -> DataFrame:
@@ -97,11 +124,10 @@ def resolved(spellings: DataFrame, hand: DataFrame, index: DataFrame, cutoff: fl
     raw = spellings.select(F.col(spellings.columns[0]).alias("raw")).dropna().distinct().withColumn("key", text.fold(F.col("raw")))
     raw = Written(raw, "raw").df
     first = hand.select("key", F.col("canonical").alias("c1"), F.lit(True).alias("hit"))
-    two = raw.join(F.broadcast(first), "key", "left").join(F.broadcast(index.withColumnRenamed("canonical", "c2")), "key", "left")
+    two = attach(attach(raw, first, ["key"]), index.withColumnRenamed("canonical", "c2"), ["key"])
     rest = two.filter("hit is null and c2 is null and key <> ''")
     if fuzzy:
-        names = index.select("key").limit(MOST_NAMES + 1).collect()
-        near = close_names(rest.select("key"), [r[0] for r in names], cutoff).join(F.broadcast(index.select(F.col("key").alias("near"), F.col("canonical").alias("c3"))), "near")
+        near = close_names(rest.select("key"), index.select("key"), cutoff).join(index.select(F.col("key").alias("near"), F.col("canonical").alias("c3")), "near")
     else:
         near = rest.limit(0).select("key", F.lit(None).cast("string").alias("c3"))
     three = two.join(near.select("key", "c3"), "key", "left")
@@ -151,3 +177,27 @@ def sections(lines: DataFrame) -> DataFrame:
     verses = blocks.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "t"))), lambda s: s["t"]).alias("charanam"))
     parts = told.groupBy("page_id").agg(joined(F.col("section") == "pallavi").alias("pallavi"), joined(F.col("section") == "anupallavi").alias("anupallavi"))
     return parts.join(verses, "page_id", "left").select("page_id", "pallavi", "anupallavi", F.coalesce("charanam", F.array().cast("array<string>")).alias("charanam"))
+
+
+def zipped(contours: DataFrame, meta: DataFrame, place: str = "place") -> DataFrame:
+    """The rows of two tables that stand at one place (a column of both, unique in each); places that one lacks are left out."""
+    return attach(contours, meta, [place], "inner")
+
+
+def listed(df: DataFrame, *order: str) -> DataFrame:
+    """All rows in an order, by a range partitioned sort."""
+    return df.orderBy(*order)
+
+
+def merged_paths(parts: list[DataFrame], column: str) -> DataFrame:
+    """(column, place): the distinct values of several tables (column, place), those of earlier tables first, each at its
+    first place; nulls are left out."""
+    rows = [df.select(F.col(column), F.struct(F.lit(i).alias("part"), F.col("place").cast("long").alias("place")).alias("place")) for i, df in enumerate(parts)]
+    return reduce(DataFrame.unionByName, rows).dropna(subset=[column]).groupBy(column).agg(F.min("place").alias("place"))
+
+
+def by_names(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """The rows whose column equals one of the names (one column), without regard to case and space around; nulls equal none."""
+    key = lambda c: F.lower(F.trim(c))
+    wanted = names.select(key(F.col(names.columns[0])).alias("_name")).dropna().distinct().withColumn("_hit", F.lit(True))
+    return attach(df.withColumn("_name", key(F.col(column))), wanted, ["_name"], "inner").drop("_name", "_hit")

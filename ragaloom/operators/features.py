@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragaloom.functions import arrays, pitch
@@ -63,3 +63,12 @@ def vectors(series: DataFrame, least: int = 10) -> DataFrame:
 
     cents = F.transform(arrays.voiced(F.col("frequencies")), lambda x: 1200.0 * F.log2(x / F.col("tonic")))
     return series.select("track_id", F.when(F.col("tonic") > 0, arrays.let(cents, vector)).alias("features"))
+
+
+def model_input(frequencies: Column, tonic: Column, mode: str) -> Column:
+    """What a net of the mode reads: the shares of pitch classes, or the contour in cents with 0 where unvoiced; null
+    without a tonic."""
+    cents = F.transform(frequencies.cast("array<double>"), lambda x: F.when(x > 0, 1200.0 * F.log2(x / tonic)).otherwise(0.0))
+    if mode not in ("pcd", "contour"):
+        raise ValueError(f"unknown mode {mode!r}")
+    return F.when(tonic > 0, arrays.class_distribution(cents) if mode == "pcd" else cents)

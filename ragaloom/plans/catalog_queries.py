@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ragaloom import service
 from ragaloom.functions import text
-from ragaloom.operators import catalog, evaluate
+from ragaloom.ml import raga
+from ragaloom.operators import catalog, evaluate, ranks, tala
 from ragaloom.session import table
 
 
@@ -49,7 +51,9 @@ def s25_seeds(spark, d):
 
 
 def sp06_by_raga(spark, d):
-    return tracks(spark, d).filter("raga <> ''").groupBy(F.lower(F.trim("raga")).alias("raga")).agg(F.count("*").alias("n"))
+    """The tracks of a list of ragas, here the vocabulary's, by names without regard to case and space around them."""
+    names = vocab(spark, d).select("raga_name")
+    return catalog.by_names(tracks(spark, d), "raga", names).select("row_id", "raga")
 
 
 def sp07_real_titles(spark, d):
@@ -66,8 +70,7 @@ def sp09_artist_pages(spark, d):
 
 
 def sp10_song_links(spark, d):
-    link = F.concat("source_url", F.when(F.col("row_id") % 3 == 0, F.lit("c1023.shtml")).when(F.col("row_id") % 3 == 1, F.lit("lyrics/x")).otherwise(F.lit("x")))
-    return scraped(spark, d).filter(text.is_song_link(link)).select("row_id")
+    return scraped(spark, d).select("row_id", text.is_song_link(F.col("source_url")).alias("song"))
 
 
 def sp12_uncertain(spark, d):
@@ -244,9 +247,9 @@ def w08_first_and_rest(spark, d):
 
 
 def w09_keys(spark, d):
-    """Dense keys within a raga."""
-    w = Window.partitionBy("raga").orderBy("row_id")
-    return tracks(spark, d).select("row_id", F.concat(F.lit("t"), (F.row_number().over(w) - 1).cast("string")).alias("key"))
+    """Dense keys over all tracks, ranked in slices of row_id."""
+    t = tracks(spark, d).select("row_id")
+    return ranks.ranked(t, [], ranks.sliced(t, "row_id"), [F.col("row_id")]).select("row_id", F.concat(F.lit("t"), (F.col("rank") - 1).cast("string")).alias("key"))
 
 
 def w13_sections(spark, d):
@@ -257,12 +260,11 @@ def w13_sections(spark, d):
 
 
 def w14_failure_runs(spark, d):
-    """The longest run of lyrics without a meaning in each language, by order of adding: gaps and islands."""
-    w = Window.partitionBy("language").orderBy("added_at", "row_id")
-    x = lyrics(spark, d).select("language", F.col("meaning_en").isNull().alias("fail"), F.row_number().over(w).alias("i"), "added_at", "row_id")
-    own = Window.partitionBy("language", "fail").orderBy("added_at", "row_id")
-    runs = x.withColumn("island", F.col("i") - F.row_number().over(own)).filter("fail").groupBy("language", "island").agg(F.count("*").alias("n"))
-    return runs.groupBy("language").agg(F.max("n").alias("longest"), F.count_if(F.col("n") >= 5).alias("stops"))
+    """The longest run of lyrics without a meaning in each language, by order of adding, and the runs of at least five,
+    after each of which a batch would have stopped."""
+    x = lyrics(spark, d).select("language", "meaning_en", "added_at", "row_id")
+    found = ranks.runs(x, "language", ranks.sliced(x, "added_at"), [F.col("added_at"), F.col("row_id")], F.col("meaning_en").isNull())
+    return found.groupBy("language").agg(F.max("n").alias("longest"), F.count_if(F.col("n") >= 5).alias("stops"))
 
 
 def m01_upserted(spark, d):
@@ -297,12 +299,13 @@ def m04_point(spark, d):
 
 
 def m06_listed(spark, d):
-    w = catalog.latest(works(spark, d), ["composition_id"], F.desc("row_id"))
-    return w.select("composition_id", "composer", "composition_name")
+    """All works in the order of composer and name, with the place of each."""
+    w = catalog.latest(works(spark, d), ["composition_id"], F.desc("row_id")).select("composition_id", "composer", "composition_name")
+    return catalog.listed(w, "composer", "composition_name", "composition_id")
 
 
 def f07_tala(spark, d):
-    return works(spark, d).select("row_id", text.tala(F.concat(F.lit(" "), F.when(F.col("row_id") % 3 == 0, F.lit("Aadi")).when(F.col("row_id") % 3 == 1, F.lit("Mishra  Chapu")).otherwise(F.col("tala")))).alias("tala"))
+    return works(spark, d).select("row_id", text.tala(F.col("tala")).alias("tala"))
 
 
 def f08_slug(spark, d):
@@ -319,7 +322,7 @@ def f11_fields(spark, d):
 
 
 def f12_language(spark, d):
-    return works(spark, d).select("row_id", text.language(F.concat("language", F.when(F.col("row_id") % 4 == 0, F.lit(" in tamil, not SANSKRIT")).otherwise(F.lit("")))).alias("language"))
+    return works(spark, d).select("row_id", text.language(F.col("language")).alias("language"))
 
 
 def f15_display(spark, d):
@@ -352,8 +355,59 @@ def l01_labels(spark, d):
 
 
 def l05_folds(spark, d):
-    w = Window.partitionBy("label").orderBy(F.md5(F.concat(F.col("vec_id").cast("string"), F.lit("-42"))), "vec_id")
-    return table(spark, d, "embeddings").select("vec_id", ((F.row_number().over(w) - 1) % 5).alias("fold"))
+    return raga.folds(table(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id").select("vec_id", "fold")
+
+
+def sp14_projection(spark, d):
+    return service.list_tracks(tracks(spark, d))
+
+
+def j05_zipped(spark, d):
+    """Contours and titled tracks, each in the order of its ids, zipped by place."""
+    c = table(spark, d, "composition_catalog_contours").select("track_id")
+    m = table(spark, d, "composition_catalog_meta").select("track_id").dropna().distinct()
+
+    def placed(df, name):  # ids are cut into slices by their first characters, so that the slices are in the ids' order
+        piece = F.coalesce(F.ascii(F.substring("track_id", 1, 1)) * 65536 + F.ascii(F.substring("track_id", 2, 1)) * 256 + F.ascii(F.substring("track_id", 3, 1)), F.lit(0))
+        return ranks.ranked(df, [], piece, [F.col("track_id")], "place").withColumnRenamed("track_id", name)
+
+    return catalog.zipped(placed(c, "contour_id"), placed(m, "meta_id")).select("place", "contour_id", "meta_id")
+
+
+def u05_merged_paths(spark, d):
+    """Distinct ragas of the vocabulary, then of tracks, then of listings, each where it comes first."""
+    parts = [vocab(spark, d).select(F.col("raga_name").alias("raga"), F.col("raga_id").alias("place")), tracks(spark, d).select("raga", F.col("row_id").alias("place")), scraped(spark, d).select("raga", F.col("row_id").alias("place"))]
+    return catalog.merged_paths(parts, "raga").select("raga", F.col("place.part").alias("part"), F.col("place.place").alias("place"))
+
+
+def a24_epoch_means(spark, d):
+    """Means of batches, weighted by their rows; a batch is a line item, its epoch the line's number."""
+    b = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("epoch"), F.col("l_discount").alias("loss"), F.col("l_quantity").cast("long").alias("n"), F.floor(F.col("l_quantity") / 2).alias("correct"))
+    return evaluate.epochs(b).select("epoch", F.round("loss", 6).alias("loss"), F.round("accuracy", 6).alias("accuracy"))
+
+
+def a15_weighted_loss(spark, d):
+    t = table(spark, d, "lineitem").select(F.col("l_discount").alias("loss"), F.col("l_quantity").cast("long").alias("n"))
+    return evaluate.weighted_loss(t).select(F.round("loss", 6).alias("loss"), "n")
+
+
+def w16_stop_epoch(spark, d):
+    """Where training would stop, were the months' mean order prices its losses."""
+    m = table(spark, d, "orders").groupBy((F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("epoch")).agg(F.round(F.avg("o_totalprice"), 4).alias("loss"))
+    return evaluate.stop_epoch(m)
+
+
+def f20_true_beats(spark, d):
+    """Annotated beats of a cycle, else from tempo and the seconds between samas."""
+    x = table(spark, d, "lineitem")
+    told = tala.true_beats(F.nullif(F.col("l_linenumber") - 1, F.lit(0)).cast("string"), F.col("l_quantity").cast("string"), (F.col("l_tax") * 100).cast("string"))
+    return x.select("l_orderkey", "l_linenumber", told.alias("beats"))
+
+
+def f18_now(spark, d):
+    """Whether the time of the query is in the form asked for, for each table's count."""
+    form = text.utc_now().rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00$")
+    return a20_counts(spark, d).select("name", form.alias("fine"))
 
 
 QUERIES = {k: f for k, f in dict(globals()).items() if callable(f) and getattr(f, "__module__", "") == __name__ and k[0] in "asjkuwmfl" and k[1:2] not in ("_",) and any(c.isdigit() for c in k[:4])}
@@ -374,17 +428,34 @@ _PROMPT = """'Composition: ' || composition_name || chr(10) || 'Composer: ' || c
 _TOLD = "(SELECT raga AS label, raga_canonical AS prediction FROM scraped_compositions WHERE raga IN (SELECT raga_name FROM raga_vocab))"
 _TALA14 = """w AS (SELECT row_id, composer, regexp_replace(lower(trim(tala)), '\\s+', ' ', 'g') AS label FROM compositions WHERE composer <> '' AND tala <> ''),
   c AS (SELECT composer, label, count(*) AS n FROM w GROUP BY composer, label QUALIFY row_number() OVER (PARTITION BY composer ORDER BY count(*) DESC, label) = 1), j AS (SELECT row_id, w.label, c.label AS prediction FROM w JOIN c USING (composer))"""
+_SPELLINGS = ", ".join(f"('{x}', '{name}')" for name, spellings in text.TALAS.items() for x in spellings)
+_INSTRUMENTS = ", ".join(f"'{x}'" for x in text.INSTRUMENTS)
 SQL = {
+    "sp08_listing_lines": f"""SELECT row_id, trim(p[1], ' .–—-') AS title, trim(p[2], ' .–—-') AS raga FROM (SELECT row_id, line, regexp_split_to_array(trim(line, ' '), '\\s+[–—-]\\s+') AS p FROM (SELECT row_id, concat_ws(' - ', title, raga) AS line FROM scraped_compositions))
+      WHERE len(p) >= 2 AND NOT starts_with(lower(trim(line, ' ')), 'with') AND trim(p[1], ' .–—-') <> '' AND trim(p[2], ' .–—-') <> '' AND length(trim(p[1], ' .–—-')) <= 60 AND length(trim(p[2], ' .–—-')) <= 40 AND lower(trim(p[2], ' .–—-')) NOT IN ({_INSTRUMENTS})""",
+    "f15_display": """SELECT row_id, array_to_string(list_transform(string_split(lower(replace(x, '-', ' ')), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name
+      FROM (SELECT row_id, list_filter(string_split(regexp_extract(source_url, '^[a-z]+://[^/]+([^?#]*)', 1), '/'), lambda p: p <> '')[2] AS x FROM scraped_compositions)""",
+    "f22_percent": "SELECT raga, format('{:,.1f}%', round_even(n / 7.0::DOUBLE, 1)) AS shown, lpad((n // 60)::VARCHAR, greatest(2, 2), '0') || ':' || lpad((n % 60)::VARCHAR, 2, '0') AS clock FROM (SELECT raga, count(*) AS n FROM tracks_meta GROUP BY raga)",
+    "sp14_projection": "SELECT track_id, title, tonic, raga FROM tracks_meta",
+    "j05_zipped": "SELECT place, contour_id, meta_id FROM (SELECT row_number() OVER (ORDER BY track_id) AS place, track_id AS contour_id FROM composition_catalog_contours) JOIN (SELECT row_number() OVER (ORDER BY track_id) AS place, track_id AS meta_id FROM (SELECT DISTINCT track_id FROM composition_catalog_meta WHERE track_id IS NOT NULL)) USING (place)",
+    "u05_merged_paths": "SELECT raga, part::INT AS part, place::BIGINT AS place FROM (SELECT raga_name AS raga, 0 AS part, raga_id AS place FROM raga_vocab UNION ALL SELECT raga, 1, row_id FROM tracks_meta UNION ALL SELECT raga, 2, row_id FROM scraped_compositions) WHERE raga IS NOT NULL QUALIFY row_number() OVER (PARTITION BY raga ORDER BY part, place) = 1",
+    "a24_epoch_means": "SELECT l_linenumber AS epoch, round(sum(l_discount * floor(l_quantity)) / sum(floor(l_quantity)), 6) AS loss, round(sum(floor(l_quantity / 2)) / sum(floor(l_quantity)), 6) AS accuracy FROM lineitem GROUP BY l_linenumber",
+    "a15_weighted_loss": "SELECT round(sum(l_discount * floor(l_quantity)) / sum(floor(l_quantity)), 6) AS loss, sum(floor(l_quantity))::BIGINT AS n FROM lineitem",
+    "w16_stop_epoch": """WITH m AS (SELECT (year(o_orderdate) * 12 + month(o_orderdate))::INT AS epoch, round(avg(o_totalprice), 4) AS loss FROM orders GROUP BY 1),
+      b AS (SELECT *, coalesce(loss < min(loss) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better FROM m), s AS (SELECT *, max(CASE WHEN better THEN epoch END) OVER (ORDER BY epoch) AS best FROM b),
+      e AS (SELECT coalesce(min(CASE WHEN epoch - best >= 8 THEN epoch END), max(epoch)) AS last FROM s) SELECT s.best AS best_epoch, m.loss AS best_loss, s.epoch AS last_epoch FROM s JOIN e ON s.epoch = e.last JOIN m ON m.epoch = s.best""",
+    "f20_true_beats": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 1 THEN (l_linenumber - 1)::INT WHEN l_quantity > 0 AND l_tax > 0 THEN round_even(l_quantity * (l_tax * 100) / 60.0::DOUBLE, 0)::INT END AS beats FROM lineitem",
+    "f18_now": "SELECT name, true AS fine FROM (VALUES ('tracks_meta'), ('compositions'), ('lyrics_catalog'), ('scraped_compositions')) t(name)",
     "s04_tracks": "SELECT track_id, key, title, tonic, raga FROM tracks_meta",
     "s07_usable_tracks": "SELECT row_id, track_id, title, round(tonic, 6) AS tonic FROM tracks_meta WHERE title <> '' AND tonic > 0 AND track_id IN (SELECT track_id FROM composition_catalog_contours WHERE contour IS NOT NULL)",
     "s08_bundle": "SELECT row_id, track_id, coalesce(nullif(title, ''), track_id) AS title, coalesce(raga, '') AS raga FROM tracks_meta WHERE tonic > 0 AND track_id IN (SELECT track_id FROM composition_catalog_contours)",
     "s12_training_scan": "SELECT row_id, raga, round(coalesce(nullif(tonic, 0), 220), 6) AS tonic FROM tracks_meta WHERE raga <> ''",
     "s23_vocabulary": "SELECT name, (row_number() OVER (ORDER BY name))::INT AS rank FROM (SELECT DISTINCT raga_name AS name FROM raga_vocab WHERE raga_name IN (SELECT raga FROM tracks_meta WHERE raga <> ''))",
     "s25_seeds": f"SELECT row_id, title, raga FROM scraped_compositions WHERE trim(title) <> '' AND title NOT IN (SELECT title FROM lyrics_catalog WHERE title IS NOT NULL) {_LATEST.format('title', 'row_id')}",
-    "sp06_by_raga": "SELECT lower(trim(raga)) AS raga, count(*) AS n FROM tracks_meta WHERE raga <> '' GROUP BY 1",
+    "sp06_by_raga": "SELECT row_id, raga FROM tracks_meta WHERE lower(trim(raga, ' ')) IN (SELECT lower(trim(raga_name, ' ')) FROM raga_vocab)",
     "sp07_real_titles": f"SELECT row_id FROM {_LOW} WHERE {_REAL}",
     "sp09_artist_pages": "SELECT row_id FROM scraped_compositions WHERE regexp_matches(source_url, '^https?://[^/]*concerts[^/]*/+artist/+[^/?#]+/*$')",
-    "sp10_song_links": "SELECT row_id FROM scraped_compositions WHERE source_url IS NOT NULL AND (row_id % 3 = 0 OR contains(source_url || CASE WHEN row_id % 3 = 1 THEN 'lyrics/x' ELSE 'x' END, '/lyrics/') OR regexp_matches(source_url, 'c[0-9]+\\.shtml'))",
+    "sp10_song_links": "SELECT row_id, regexp_matches(source_url, 'c[0-9]+\\.shtml') OR contains(source_url, '/lyrics/') AS song FROM scraped_compositions",
     "sp12_uncertain": "SELECT artist, round(top, 6) AS top, top < 0.3 AS uncertain, CASE WHEN top < 0.5 THEN 'low' ELSE 'fine' END AS label FROM (SELECT artist, max(n)::DOUBLE / sum(n) AS top FROM (SELECT artist, raga_canonical, count(*) AS n FROM scraped_compositions WHERE raga_canonical <> '' GROUP BY ALL) GROUP BY artist)",
     "sp16_first_of_list": "SELECT row_id, coalesce(v[1], '') AS first, len(v)::INT AS n FROM (SELECT row_id, from_json(charanam, '[\"VARCHAR\"]') AS v FROM compositions)",
     "sp17_clean_batch": f"SELECT row_id, title FROM scraped_compositions WHERE trim(title) <> '' {_LATEST.format('title', 'row_id')}",
@@ -419,7 +490,7 @@ SQL = {
     "u03_distinct": "SELECT DISTINCT tala FROM compositions",
     "u04_merged": f"SELECT raga, composer FROM (SELECT raga, composer, row_id, 0 AS later FROM compositions UNION ALL SELECT raga, composer, row_id, 1 FROM lyrics_catalog) WHERE raga <> '' AND composer <> '' {_LATEST.format('raga', 'later DESC, row_id DESC')}",
     "w08_first_and_rest": "SELECT row_id, row_number() OVER (PARTITION BY title ORDER BY row_id) = 1 AS first FROM scraped_compositions WHERE title IS NOT NULL",
-    "w09_keys": "SELECT row_id, 't' || (row_number() OVER (PARTITION BY raga ORDER BY row_id) - 1) AS key FROM tracks_meta",
+    "w09_keys": "SELECT row_id, 't' || (row_number() OVER (ORDER BY row_id) - 1) AS key FROM tracks_meta",
     "w13_sections": """SELECT row_id AS page_id, trim(pallavi, ' ') AS pallavi, trim(anupallavi, ' ') AS anupallavi, coalesce(array_to_string(list_filter(list_transform(from_json(charanam, '["VARCHAR"]'), lambda v: trim(v, ' ')), lambda v: v <> ''), '|'), '') AS charanam
       FROM compositions WHERE trim(pallavi, ' ') <> '' OR trim(anupallavi, ' ') <> '' OR charanam <> '[]'""",
     "w14_failure_runs": """WITH x AS (SELECT language, meaning_en IS NULL AS fail, row_number() OVER (PARTITION BY language ORDER BY added_at, row_id) - row_number() OVER (PARTITION BY language, meaning_en IS NULL ORDER BY added_at, row_id) AS island FROM lyrics_catalog)
@@ -432,11 +503,11 @@ SQL = {
     "m04_point": "SELECT row_id, composition_id FROM compositions WHERE composition_id = (SELECT min(composition_id) FROM compositions)",
     "m05_search": " UNION ALL ".join(f"SELECT '{c}' AS field, row_id FROM compositions WHERE translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%{p}%'" for c, p in (("composition_name", "maruva"), ("raga", "ji%ri"), ("composer", "n. "))),
     "m06_listed": f"SELECT composition_id, composer, composition_name FROM compositions {_LATEST.format('composition_id', 'row_id DESC')}",
-    "f07_tala": "SELECT row_id, CASE row_id % 3 WHEN 0 THEN 'adi' WHEN 1 THEN 'misra chapu' ELSE regexp_replace(lower(trim(tala)), '\\s+', ' ', 'g') END AS tala FROM compositions",
+    "f07_tala": f"SELECT row_id, coalesce(canonical, k) AS tala FROM (SELECT row_id, coalesce(regexp_replace(lower(trim(tala, ' ')), '\\s+', ' ', 'g'), '') AS k FROM compositions) LEFT JOIN (VALUES {_SPELLINGS}) t(spelling, canonical) ON spelling = k",
     "f08_slug": f"SELECT row_id, trim(regexp_replace(regexp_replace(lower(strip_accents(translate(composition_name, '{_WIDE}', '{_PLAIN}') || '-' || composer)), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM compositions",
     "f09_fold": f"SELECT row_id, {_FOLD.format('composer')} AS folded FROM compositions",
     "f11_fields": "SELECT row_id, trim(raga, ' ') AS raga, trim(tala, ' ') AS tala, '' AS language FROM compositions",
-    "f12_language": "SELECT row_id, CASE WHEN contains(l, 'telugu') THEN 'Telugu' WHEN contains(l, 'sanskrit') THEN 'Sanskrit' WHEN contains(l, 'tamil') THEN 'Tamil' WHEN contains(l, 'kannada') THEN 'Kannada' WHEN contains(l, 'malayalam') THEN 'Malayalam' ELSE 'Unknown' END AS language FROM (SELECT row_id, lower(language || CASE WHEN row_id % 4 = 0 THEN ' in tamil, not SANSKRIT' ELSE '' END) AS l FROM compositions)",
+    "f12_language": "SELECT row_id, CASE WHEN contains(l, 'telugu') THEN 'Telugu' WHEN contains(l, 'sanskrit') THEN 'Sanskrit' WHEN contains(l, 'tamil') THEN 'Tamil' WHEN contains(l, 'kannada') THEN 'Kannada' WHEN contains(l, 'malayalam') THEN 'Malayalam' ELSE 'Unknown' END AS language FROM (SELECT row_id, lower(language) AS l FROM compositions)",
     "f16_address": "SELECT row_id, regexp_extract(source_url, '^[a-z]+://([^/]+)', 1) AS host, 'https://one.example' || regexp_extract(source_url, '^[a-z]+://[^/]+([^?#]*)', 1) AS url FROM scraped_compositions",
     "f17_json": "SELECT row_id, len(from_json(charanam, '[\"VARCHAR\"]'))::INT AS n, to_json(from_json(charanam, '[\"VARCHAR\"]'))::VARCHAR AS encoded FROM compositions",
     "f19_prompt": f"SELECT row_id, {_PROMPT} AS prompt FROM compositions",

@@ -17,7 +17,8 @@ def contours(spark, d):
 
 
 def _ranked(spark, d):
-    return match.top_matches(contours(spark, d), contours(spark, d), 5, 64, exclude_self=True)
+    c = contours(spark, d)
+    return match.top_matches(c, c, 5, 64, exclude_self=True)
 
 
 def j03_leave_one_out(spark, d):
@@ -55,24 +56,36 @@ def d12_matches(spark, d):
 
 
 def d13_warped_matches(spark, d):
-    """By time warping: the vectors whose id is divisible by 50 against all."""
+    """By subsequence time warping, which is the default: the vectors whose id is divisible by 50 against all."""
+    c = contours(spark, d)
+    return match.warped_matches(c.filter("track_id % 50 = 0"), c, 3).withColumn("similarity", F.round("similarity", 6))
+
+
+def d09_banded_matches(spark, d):
+    """By time warping of whole contours within a band of 100: the vectors whose id is divisible by 50 against all."""
     c = contours(spark, d)
-    return match.warped_matches(c.filter("track_id % 50 = 0"), c, 3, subsequence=False).withColumn("similarity", F.round("similarity", 6))
+    return match.warped_matches(c.filter("track_id % 50 = 0"), c, 3, window=100, subsequence=False).withColumn("similarity", F.round("similarity", 6))
+
+
+def d13_invariants(spark, d):
+    """Queries and ranks of both ways of warping; by whole contours each query comes first for itself, with similarity 1."""
+    both = d13_warped_matches(spark, d).select(F.lit("subsequence").alias("way"), "query_id", "rank", "track_id", "similarity").unionByName(d09_banded_matches(spark, d).select(F.lit("whole").alias("way"), "query_id", "rank", "track_id", "similarity"))
+    own = (F.col("rank") == 1) & (F.col("similarity") == 1) & (F.col("way") == "whole")
+    return both.groupBy("way").agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("n_queries"), F.count_if(own).alias("n_own"), F.count_if((F.col("similarity") < 0) | (F.col("similarity") > 1)).alias("n_outside"))
 
 
 def a11_pair_distances(spark, d):
     c = contours(spark, d)
-    reference = c.filter("track_id % 50 = 0").withColumnRenamed("contour", "other").select(F.col("track_id").alias("query_id"), "other")
-    return c.join(F.broadcast(reference)).select("query_id", "track_id", F.round(arrays.distance(F.col("contour"), F.col("other")), 5).alias("distance"))
+    return match.pair_distances(c.filter("track_id % 50 = 0"), c).select("query_id", "track_id", F.round("distance", 5).alias("distance"))
 
 
 def k03_top_classes(spark, d):
-    p = table(spark, d, "embeddings").select("vec_id", F.posexplode(arrays.softmax(F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")))).alias("class", "p"))
+    p = table(spark, d, "embeddings").select("vec_id", F.posexplode(arrays.softmax(F.transform("embedding", lambda x: x.cast("double")))).alias("class", "p"))
     w = Window.partitionBy("vec_id").orderBy(F.desc(F.round("p", 9)), "class")
     return p.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("vec_id", "class", F.round("p", 6).alias("p"), "rank")
 
 
-QUERIES = {f.__name__: f for f in (j03_leave_one_out, j01_contour_matches, w07_first_rank, a12_retrieval, d12_matches, d13_warped_matches, a11_pair_distances, k03_top_classes)}
+QUERIES = {f.__name__: f for f in (j03_leave_one_out, j01_contour_matches, w07_first_rank, a12_retrieval, d12_matches, d13_warped_matches, d09_banded_matches, d13_invariants, a11_pair_distances, k03_top_classes)}
 
 _Z = """z AS (SELECT vec_id, label, k, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS x FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) WINDOW w AS (PARTITION BY vec_id)),
   dist AS (SELECT a.vec_id AS query_id, b.vec_id AS track_id, round(sqrt(sum((a.x - b.x) * (a.x - b.x))), 9) AS d FROM z a JOIN z b ON a.k = b.k WHERE {0} GROUP BY ALL),
@@ -81,12 +94,14 @@ _LOO = _Z.format("a.vec_id <> b.vec_id")
 _FIRST = f"""WITH {_LOO}, l AS (SELECT vec_id, label FROM embeddings), s AS (SELECT r.query_id, min(CASE WHEN a.label = b.label THEN rank END) AS rank
   FROM r JOIN l a ON a.vec_id = r.track_id JOIN l b ON b.vec_id = r.query_id GROUP BY r.query_id)"""
 SQL = {
+    "d13_invariants": f"""WITH {_Z.split("dist AS")[0].rstrip().rstrip(",")}, q AS (SELECT count(DISTINCT vec_id) AS n FROM z WHERE vec_id % 50 = 0 AND x IS NOT NULL), a AS (SELECT least(3, count(DISTINCT vec_id)) AS k FROM z WHERE x IS NOT NULL)
+      SELECT way, q.n * a.k AS n, q.n AS n_queries, CASE WHEN way = 'whole' THEN q.n ELSE 0 END AS n_own, 0 AS n_outside FROM q, a, (VALUES ('whole'), ('subsequence')) w(way)""",
     "j03_leave_one_out": f"WITH {_LOO} SELECT query_id, rank, track_id, round(1 / (1 + d / 64), 6) AS similarity FROM r",
     "j01_contour_matches": f"WITH {_Z.format('a.vec_id % 50 = 0')} SELECT query_id, rank, track_id, round(1 / (1 + d / 64), 6) AS similarity FROM r",
     "a11_pair_distances": f"WITH {_Z.format('a.vec_id % 50 = 0')} SELECT query_id, track_id, round(d, 5) AS distance FROM dist",
     "w07_first_rank": f"{_FIRST} SELECT query_id, coalesce(rank, -1)::INT AS rank FROM s",
     "a12_retrieval": f"{_FIRST} SELECT round(avg(CASE WHEN rank <= 1 THEN 1 ELSE 0 END), 6) AS top1, round(avg(CASE WHEN rank <= 3 THEN 1 ELSE 0 END), 6) AS top3, round(avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END), 6) AS top5, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, count(*) AS n FROM s",
-    "k03_top_classes": """WITH e AS (SELECT vec_id, k - 1 AS class, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM (SELECT vec_id, unnest(embedding[1:10])::DOUBLE AS x, generate_subscripts(embedding[1:10], 1) AS k FROM embeddings))
+    "k03_top_classes": """WITH e AS (SELECT vec_id, k - 1 AS class, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings))
       SELECT vec_id, class::INT AS class, round(p, 6) AS p, (row_number() OVER (PARTITION BY vec_id ORDER BY round(p, 9) DESC, class))::INT AS rank FROM e QUALIFY rank <= 3""",
     "d12_matches": f"""WITH {series_queries.FRAMES}, x AS ({series_queries.RESAMPLED.format("cents", 499)}),
       q AS (SELECT track_id::VARCHAR AS id, k, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS x FROM x WHERE track_id IN (SELECT track_id FROM v GROUP BY track_id HAVING count(*) >= 50) WINDOW w AS (PARTITION BY track_id)),

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragaloom.functions import arrays, pitch
+from ragaloom.ml import augment, nets, raga
 from ragaloom.operators import features, tala
 from ragaloom.session import table
+from ragaloom.sources import files
 
 
 
@@ -94,7 +96,7 @@ def p03_sanitised(spark, d):
 def p05_evidence(spark, d):
     s = series(spark, d)
     n = F.size(arrays.voiced(F.col("frequencies")))
-    return s.select("track_id", n.alias("n_voiced"), ((F.col("tonic") > 0) & (n >= 10)).alias("raga_ok"), arrays.encoded(F.col("frequencies"), F.col("tonic"), 32).isNotNull().alias("contour_ok"))
+    return s.select("track_id", n.alias("n_voiced"), ((F.col("tonic") > 0) & (n >= 10)).alias("raga_ok"), arrays.encoded(F.col("frequencies"), F.col("tonic"), 500).isNotNull().alias("contour_ok"))
 
 
 def a01_tonic(spark, d):
@@ -131,7 +133,9 @@ def a10_moments(spark, d):
 
 
 def a21_duration(spark, d):
-    return frames(spark, d).groupBy("track_id").agg(F.round(F.coalesce(F.try_divide(F.count("*").cast("double"), F.lit(100.0)), F.lit(0.0)), 6).alias("seconds"))
+    """A track's frames over its rate, here its unvoiced frames; 0 where the rate is 0."""
+    n = frames(spark, d).groupBy("track_id").agg(F.count("*").cast("double").alias("n"), F.count_if(F.col("hz") == 0).alias("rate"))
+    return n.select("track_id", _r(pitch.duration(F.col("n"), F.col("rate"))).alias("seconds"))
 
 
 def a22_pooled(spark, d):
@@ -165,7 +169,7 @@ def w04_interpolated(spark, d):
 
 
 def w05_resampled(spark, d):
-    return series(spark, d).select("track_id", F.posexplode(arrays.resampled(arrays.voiced(F.col("frequencies")), 40)).alias("k", "x")).select("track_id", "k", _r(F.col("x")).alias("x"))
+    return series(spark, d).select("track_id", F.posexplode(arrays.resampled(arrays.voiced(F.col("frequencies")), 500)).alias("k", "x")).select("track_id", "k", _r(F.col("x")).alias("x"))
 
 
 def w06_period(spark, d):
@@ -186,7 +190,7 @@ def d07_preprocessed(spark, d):
 
 
 def d11_encoded(spark, d):
-    e = series(spark, d).select("track_id", arrays.encoded(F.col("frequencies"), F.col("tonic"), 40).alias("e"))
+    e = series(spark, d).select("track_id", arrays.encoded(F.col("frequencies"), F.col("tonic"), 500).alias("e"))
     return e.filter("e is not null").select("track_id", F.posexplode("e").alias("k", "x")).select("track_id", "k", _r(F.col("x")).alias("x"))
 
 
@@ -217,16 +221,56 @@ def f23_softmax(spark, d):
 
 
 def l13_rolled(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", arrays.rolled(F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double")), F.lit(3)).alias("v"))
+    e = table(spark, d, "embeddings").select("vec_id", arrays.rolled(F.transform("embedding", lambda x: x.cast("double")), F.lit(3)).alias("v"))
     return e.select("vec_id", F.posexplode("v").alias("pos", "x")).select("vec_id", "pos", _r(F.col("x")).alias("x"))
 
 
 def l14_offset(spark, d):
     c = F.transform("frequencies", lambda x: pitch.cents(x, F.col("tonic")))
-    return series(spark, d).select("track_id", F.posexplode(F.transform(c, lambda x: F.when(x != 0, x + 25.0).otherwise(x))).alias("idx", "x")).select("track_id", "idx", _r(F.col("x")).alias("x"))
+    return series(spark, d).select("track_id", F.posexplode(augment.offset(c, F.lit(25.0))).alias("idx", "x")).select("track_id", "idx", _r(F.col("x")).alias("x"))
+
+
+def a25_bands(spark, d):
+    """Means of 24 stretches of a track's frames."""
+    return series(spark, d).select("track_id", F.posexplode(arrays.band_means(F.col("frequencies"))).alias("band", "x")).select("track_id", "band", _r(F.col("x")).alias("x"))
+
+
+def l15_noisy(spark, d):
+    """Frames, and those that noise changed: all that are voiced."""
+    noisy = series(spark, d).select("track_id", "frequencies", raga.noisy(F.col("frequencies"), 2.0).alias("v"))
+    changed = F.filter(F.zip_with("frequencies", "v", lambda x, y: x != y), lambda c: c)
+    return noisy.select("track_id", F.size("v").alias("n"), F.size(changed).alias("n_changed"))
+
+
+def l17_model_inputs(spark, d):
+    """What the nets read: 12 shares, whose sum is 1, and 4000 cents."""
+    x = series(spark, d).select("track_id", *[nets.fitting(features.model_input(F.col("frequencies"), F.col("tonic"), m), m).alias(m) for m in ("pcd", "contour")])
+    return x.filter("pcd is not null").select("track_id", F.size("pcd").alias("n_pcd"), F.round(arrays.total(F.col("pcd")), 6).alias("share"), F.size("contour").alias("n_contour"))
+
+
+def p19_subsets(spark, d):
+    """The sizes and sums of the parts of a feature vector: one for each kind of feature in it."""
+    v = features.vectors(series(spark, d)).filter("features is not null")
+    parts = F.array(*[F.struct(F.lit(n).alias("name"), raga.subset(F.col("features"), n).alias("x")) for n in raga.SUBSETS])
+    return v.select("track_id", F.explode(parts).alias("p")).select("track_id", "p.name", F.size("p.x").alias("n"), F.round(arrays.total(F.col("p.x")), 6).alias("total"))
+
+
+def s06_annotations(spark, d):
+    """Pitch with its times where a track is annotated; sections where nobody annotated any."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    timed = table(spark, d, "events").groupBy(F.col("user_id").alias("track_id")).agg(F.sort_array(F.collect_list(seconds)).alias("times"))
+    told = files.annotations(timed.join(series(spark, d), "track_id"))
+    return told.select("track_id", F.size("pitch.times").alias("n_times"), F.size("pitch.frequencies").alias("n"), _r(F.col("tonic")).alias("tonic"), F.col("sections").isNotNull().alias("has_sections"))
+
+
+def s10_pitch_of(spark, d):
+    """The series of every asked id, null for those that there is none of."""
+    asked = table(spark, d, "embeddings").select("vec_id")
+    return files.pitch_of(series(spark, d), asked).select("track_id", F.size("frequencies").alias("n"), _r(F.col("tonic")).alias("tonic"))
 
 
 QUERIES = {f.__name__: f for f in (
+    a25_bands, l15_noisy, l17_model_inputs, p19_subsets, s06_annotations, s10_pitch_of,
     f01_cents, f02_octave_fold, f03_class_bins, f04_similarity, f05_tempo, f23_softmax, p01_voiced, p02_unvoiced_dropped, p03_sanitised, p05_evidence, p11_demoted, p15_clamped,
     a01_tonic, a02_class_distribution, a03_histogram, a04_pairs, a05_triples, a06_vectors, a10_moments, a21_duration, a22_pooled, a23_frame_counts,
     w01_intervals, w02_neighbours, w04_interpolated, w05_resampled, w06_period, w10_segments, w12_fixed_length, d07_preprocessed, d11_encoded, d14_cycle, d15_tala, l13_rolled, l14_offset,
@@ -252,6 +296,13 @@ w AS (SELECT track_id, count(*) AS nb, max(t) - min(t) AS span FROM b GROUP BY t
 y AS (SELECT *, CASE WHEN m > 0 THEN CASE WHEN period > 0 THEN period * m ELSE span END END AS cycle FROM w LEFT JOIN m USING (track_id) LEFT JOIN p USING (track_id)),
 q AS (SELECT *, CASE WHEN m > 0 AND cycle > 0 THEN round_even(cycle / m, 0)::INT END AS beats FROM y)"""
 SQL = {
+    "a25_bands": f"""WITH {FRAMES}, n AS (SELECT track_id, count(*) AS n FROM f GROUP BY track_id)
+      SELECT n.track_id, b.b::INT AS band, round(coalesce(avg(hz), 0), 6) AS x FROM n JOIN range(0, 24) b(b) ON true LEFT JOIN f ON f.track_id = n.track_id AND idx >= b.b * n // 24 AND idx < (b.b + 1) * n // 24 GROUP BY n.track_id, b.b""",
+    "l15_noisy": f"WITH {FRAMES} SELECT track_id, count(*)::INT AS n, count(*) FILTER (hz <> 0)::INT AS n_changed FROM f GROUP BY track_id",
+    "l17_model_inputs": f"WITH {FRAMES} SELECT track_id, 12 AS n_pcd, CASE WHEN count(*) FILTER (cents <> 0) > 0 THEN 1.0::DOUBLE ELSE 0 END AS share, 4000 AS n_contour FROM c WHERE track_id IN (SELECT track_id FROM t WHERE tonic > 0) GROUP BY track_id",
+    "p19_subsets": f"""WITH {FRAMES} SELECT track_id, name, size AS n, total::DOUBLE AS total FROM (SELECT track_id FROM v GROUP BY track_id HAVING count(*) >= 10), (VALUES ('histogram', 120, 1), ('pairs', 264, 2), ('all', 480, 3)) s(name, size, total)""",
+    "s06_annotations": f"WITH {FRAMES} SELECT track_id, count(*)::INT AS n_times, count(*)::INT AS n, round(any_value(tonic), 6) AS tonic, false AS has_sections FROM f JOIN t USING (track_id) GROUP BY track_id",
+    "s10_pitch_of": f"WITH {FRAMES} SELECT vec_id AS track_id, n::INT AS n, round(tonic, 6) AS tonic FROM embeddings LEFT JOIN (SELECT track_id, count(*) AS n FROM f GROUP BY track_id) x ON track_id = vec_id LEFT JOIN t ON t.track_id = vec_id",
     "f01_cents": f"WITH {FRAMES} SELECT track_id, idx::INT AS idx, round(cents, 6) AS cents FROM c",
     "f02_octave_fold": f"WITH {FRAMES} SELECT track_id, idx::INT AS idx, round(oct, 6) AS folded FROM o",
     "f03_class_bins": f"WITH {FRAMES} SELECT track_id, idx::INT AS idx, least(11, floor(oct * 12 / 1200))::INT AS pc12, least(5, floor(oct * 6 / 1200))::INT AS pc6, least(119, floor(oct / 10))::INT AS bin FROM o",
@@ -261,7 +312,7 @@ SQL = {
     "p01_voiced": f"WITH {FRAMES} SELECT track_id, count(*) AS n, round(sum(hz), 6) AS sum_hz FROM f WHERE hz > 0 GROUP BY track_id",
     "p02_unvoiced_dropped": f"WITH {FRAMES} SELECT track_id, count(CASE WHEN cents <> 0 THEN 1 END)::INT AS n FROM c GROUP BY track_id",
     "p03_sanitised": "SELECT user_id AS track_id, count(CASE WHEN event_type = 'error' THEN 1 END) AS n_zero, round(coalesce(sum(value) FILTER (event_type <> 'error'), 0), 6) AS sum_hz FROM events GROUP BY user_id",
-    "p05_evidence": f"""WITH {FRAMES}, n AS (SELECT track_id, count(*) FILTER (hz > 0) AS n FROM f GROUP BY track_id), x AS ({RESAMPLED.format("cents", 31)}), dev AS (SELECT track_id, stddev_pop(x) AS s FROM x GROUP BY track_id)
+    "p05_evidence": f"""WITH {FRAMES}, n AS (SELECT track_id, count(*) FILTER (hz > 0) AS n FROM f GROUP BY track_id), x AS ({RESAMPLED.format("cents", 499)}), dev AS (SELECT track_id, stddev_pop(x) AS s FROM x GROUP BY track_id)
       SELECT track_id, n::INT AS n_voiced, tonic > 0 AND n >= 10 AS raga_ok, tonic > 0 AND n >= 50 AND coalesce(s, 0) >= 1e-6 AS contour_ok FROM n JOIN t USING (track_id) LEFT JOIN dev USING (track_id)""",
     "p11_demoted": f"WITH {CYCLES} SELECT track_id, CASE WHEN nb < 2 OR {SURE_CASE} < 0.4 THEN 'Unknown' ELSE {TALA_CASE} END AS tala_name, CASE WHEN nb < 2 THEN 0 ELSE {SURE_CASE} END AS confidence FROM q",
     "p15_clamped": "SELECT event_id, round(coalesce(greatest(0, least(1, (value - 50) / 100)), 0), 6) AS x FROM events",
@@ -276,7 +327,7 @@ SQL = {
       UNION ALL SELECT track_id, 120 + pp, round(1 / (count(*) OVER (PARTITION BY track_id) + 1e-9), 6) FROM (SELECT DISTINCT track_id, pp FROM e WHERE pp IS NOT NULL)
       UNION ALL SELECT track_id, 264 + qqq, round(1 / (count(*) OVER (PARTITION BY track_id) + 1e-9), 6) FROM (SELECT DISTINCT track_id, qqq FROM e WHERE qqq IS NOT NULL)""",
     "a10_moments": f"WITH {FRAMES} SELECT track_id, round(avg(cents), 6) AS mean, round(stddev_pop(cents), 6) AS deviation FROM v GROUP BY track_id",
-    "a21_duration": f"WITH {FRAMES} SELECT track_id, round(count(*) / 100.0::DOUBLE, 6) AS seconds FROM f GROUP BY track_id",
+    "a21_duration": f"WITH {FRAMES} SELECT track_id, round(CASE WHEN count(*) FILTER (hz = 0) = 0 THEN 0 ELSE count(*) / (count(*) FILTER (hz = 0))::DOUBLE END, 6) AS seconds FROM f GROUP BY track_id",
     "a22_pooled": f"WITH {FRAMES} SELECT track_id, (idx // 4)::INT AS block, round(avg(hz), 6) AS x FROM f GROUP BY ALL",
     "a23_frame_counts": f"WITH {FRAMES} SELECT track_id, count(*) AS n, count(*) FILTER (hz > 0) AS n_voiced FROM f GROUP BY track_id",
     "w01_intervals": f"WITH {GAPS} SELECT track_id, k::INT AS k, round(gap, 6) AS gap FROM i",
@@ -287,7 +338,7 @@ SQL = {
       first_value(CASE WHEN hz <> 0 THEN idx END IGNORE NULLS) OVER a AS i1, first_value(CASE WHEN hz <> 0 THEN hz END IGNORE NULLS) OVER a AS x1 FROM f
       WINDOW b AS (PARTITION BY track_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY track_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
       SELECT track_id, idx::INT AS idx, round(CASE WHEN hz <> 0 THEN hz ELSE coalesce(x0 + (x1 - x0) * (idx - i0) / (i1 - i0)::DOUBLE, x0, x1, 0) END, 6) AS x FROM k""",
-    "w05_resampled": f"WITH {FRAMES}, x AS ({RESAMPLED.format('hz', 39)}) SELECT track_id, k::INT AS k, round(x, 6) AS x FROM x",
+    "w05_resampled": f"WITH {FRAMES}, x AS ({RESAMPLED.format('hz', 499)}) SELECT track_id, k::INT AS k, round(x, 6) AS x FROM x",
     "w06_period": f"WITH {PERIOD} SELECT track_id, period::INT AS period FROM p",
     "w10_segments": f"WITH {FRAMES} SELECT track_id, (idx // 30)::INT AS piece, count(*)::INT AS n, round(sum(hz), 6) AS sum_hz FROM f GROUP BY ALL",
     "w12_fixed_length": f"""WITH {FRAMES}, n AS (SELECT track_id, count(*) AS n FROM f GROUP BY track_id)
@@ -296,12 +347,12 @@ SQL = {
     "d07_preprocessed": f"""WITH {FRAMES}, z AS (SELECT track_id, hz, row_number() OVER (PARTITION BY track_id ORDER BY idx) - 1 AS ix, count(*) OVER (PARTITION BY track_id) AS n FROM f WHERE hz <> 0),
       s AS (SELECT a.track_id, a.ix, avg(b.hz) AS x FROM z a JOIN range(0, 5) k(k) ON k.k < least(5, a.n) JOIN z b ON b.track_id = a.track_id AND b.ix = greatest(0, least(a.n - 1, a.ix - least(5, a.n) // 2 + k.k)) GROUP BY a.track_id, a.ix)
       SELECT track_id, (ix // 4)::INT AS block, round(avg(x), 6) AS x FROM s GROUP BY ALL""",
-    "d11_encoded": f"""WITH {FRAMES}, x AS ({RESAMPLED.format("cents", 39)}), z AS (SELECT track_id, k, x, avg(x) OVER (PARTITION BY track_id) AS m, stddev_pop(x) OVER (PARTITION BY track_id) AS s FROM x)
+    "d11_encoded": f"""WITH {FRAMES}, x AS ({RESAMPLED.format("cents", 499)}), z AS (SELECT track_id, k, x, avg(x) OVER (PARTITION BY track_id) AS m, stddev_pop(x) OVER (PARTITION BY track_id) AS s FROM x)
       SELECT track_id, k::INT AS k, round((x - m) / s, 6) AS x FROM z WHERE s >= 1e-6 AND track_id IN (SELECT track_id FROM v GROUP BY track_id HAVING count(*) >= 50)""",
     "d14_cycle": f"WITH {CYCLES} SELECT track_id, round(CASE WHEN cycle > 0 THEN cycle END, 4) AS cycle FROM q",
     "d15_tala": f"""WITH {CYCLES} SELECT track_id, CASE WHEN nb < 2 THEN 'Unknown' ELSE {TALA_CASE} END AS tala_name, CASE WHEN nb < 2 THEN 0 ELSE {SURE_CASE} END AS confidence,
       round(CASE WHEN cycle > 0 THEN cycle END, 4) AS cycle, CASE WHEN beats > 0 THEN beats END AS beats_per_cycle, round(CASE WHEN m > 0 THEN 60 / m ELSE 0 END, 4) AS tempo FROM q""",
-    "l13_rolled": "SELECT vec_id, p.p::INT AS pos, round(embedding[((p.p - 3) % 12 + 12) % 12 + 1]::DOUBLE, 6) AS x FROM embeddings JOIN range(0, 12) p(p) ON true",
+    "l13_rolled": "SELECT vec_id, p.p::INT AS pos, round(embedding[((p.p - 3) % len(embedding) + len(embedding)) % len(embedding) + 1]::DOUBLE, 6) AS x FROM embeddings JOIN range(0, 64) p(p) ON true",
     "l14_offset": f"WITH {FRAMES} SELECT track_id, idx::INT AS idx, round(CASE WHEN cents <> 0 THEN cents + 25 ELSE cents END, 6) AS x FROM c",
 }
 SQL = {("s" + k if k.startswith("p") else k): q for k, q in SQL.items()}

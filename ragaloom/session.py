@@ -34,7 +34,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     master = spark.sparkContext.master
-    if not master.startswith("local["):
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = getattr(spark, "_ragaloom_scratch", None)
     if made is None:
@@ -49,6 +49,14 @@ def _path(spark: SparkSession, where: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def move(spark: SparkSession, where: str, to: str) -> None:
+    """Puts a folder in the place of another one, which is deleted."""
+    path, fs = _path(spark, to)
+    fs.delete(path, True)
+    if not fs.rename(_path(spark, where)[0], path):
+        raise OSError(f"{where} can't be moved to {to}")
+
+
 class Written:
     """A table written to the scratch folder: its lineage ends there, and it outlives the loss of an executor."""
 

@@ -1,12 +1,14 @@
 import math
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ragaloom.functions import arrays, pitch, text
 from ragaloom.kernels import audio, dtw
-from ragaloom.operators import catalog, evaluate, features, tala
+from ragaloom.operators import catalog, evaluate, features, ranks, tala
 
 
 def one(spark, expression, **values):
@@ -143,7 +145,7 @@ def test_sections(spark):
 
 
 def test_aliases(spark):
-    assert catalog.close_names(spark.createDataFrame([("abcd",)], "key string"), ["abcx", "abcz", "abcy"]).first()["near"] == "abcz"
+    assert catalog.close_names(spark.createDataFrame([("abcd",)], "key string"), spark.createDataFrame([("abcx",), ("abcz",), ("abcy",), (None,)], "name string")).first()["near"] == "abcz"
     index = spark.createDataFrame([("saveri", "Sāvēri"), ("abhogi", "Ābhōgi"), ("bhairavi", "Bhairavi")], "key string, canonical string")
     hand = spark.createDataFrame([("stop", None), ("alias", "Bhairavi")], "key string, canonical string")
     df = spark.createDataFrame([("Stop",), ("alias",), ("SAVERI",), ("abheri",), ("zzzz",), (None,), ("",)], "raga string")
@@ -151,6 +153,71 @@ def test_aliases(spark):
     assert got == {"Stop": (None, 1), "alias": ("Bhairavi", 1), "SAVERI": ("Sāvēri", 2), "abheri": ("Sāvēri", 3), "zzzz": (None, 0), "": (None, 0)}
 
 
+def test_fuzzy_names_in_shards_are_those_of_one(spark, monkeypatch):
+    names = spark.createDataFrame([(a + b + c,) for a in "abc" for b in "def" for c in "gah"], "name string")
+    words = spark.createDataFrame([("adg",), ("beh",), ("xyz",), ("cfa",), ("dgab",), (None,)], "key string")
+    whole = {tuple(r) for r in catalog.close_names(words, names).collect()}
+    monkeypatch.setattr(catalog, "NAMES_AT_ONCE", 5)
+    assert {tuple(r) for r in catalog.close_names(words, names).collect()} == whole and ("xyz", None) in whole
+
+
+def test_ranks_and_runs_equal_one_window(spark):
+    r = random.Random(11)
+    rows = [(r.choice(["hot", "hot", "hot", "b", None]), r.randrange(200), i, r.random() < 0.7) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, t int, id int, hit boolean")
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = {(x["id"], x["n"]) for x in df.withColumn("n", F.row_number().over(w)).collect()}
+    got = ranks.ranked(df, ["k"], ranks.sliced(df, "t", 7), [F.col("t"), F.col("id")])
+    assert {(x["id"], x["rank"]) for x in got.collect()} == want
+    assert {x["rank"] for x in ranks.ranked(df, [], ranks.sliced(df, "t", 7), [F.col("t"), F.col("id")]).collect()} == set(range(1, 601))
+    islands = []
+    for k in ("hot", "b", None):
+        n = 0
+        for *_, hit in [*sorted((x for x in rows if x[0] == k), key=lambda x: x[1:3]), (None, 0, 0, False)]:
+            n, done = (n + 1, 0) if hit else (0, n)
+            islands += [(str(k), done)] if done else []
+    for slices in (1, 7, 64):
+        found = ranks.runs(df, "k", ranks.sliced(df, "t", slices), [F.col("t"), F.col("id")], F.col("hit"))
+        assert sorted((str(x["k"]), x["n"]) for x in found.collect()) == sorted(islands)
+    assert ranks.runs(df.limit(0), "k", ranks.sliced(df.limit(0), "t"), [F.col("t")], F.col("hit")).collect() == []
+    assert ranks.ranked(df.limit(0), ["k"], F.lit(0), [F.col("t")]).collect() == []
+
+
+def test_interpolation_holds_edges_and_nulls(spark):
+    rows = [([0.0, 0.0, 2.0, 0.0, 0.0, 8.0, 0.0],), ([0.0],), ([],), (None,), ([3.0],), ([1.0, None, 3.0],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "v array<double>").select(arrays.interpolated(F.col("v"))).collect()]
+    assert got == [[2, 2, 2, 4, 6, 8, 8], [0], [], None, [3], [1, 2, 3]]
+    bands = spark.createDataFrame([([1.0, 3.0, 5.0, 7.0],), ([],)], "v array<double>").select(arrays.band_means(F.col("v"), 2)).collect()
+    assert [r[0] for r in bands] == [[2, 6], [0, 0]]
+
+
+def test_spellings_and_links(spark):
+    assert [one(spark, text.tala(F.lit(x))) for x in ("Aadi", "Mishra  Chapu", "chatusra rupaka")] == ["adi", "misra chapu", "rupaka"]
+    links = ["c1023.shtml", "https://x.org/lyrics/x", "https://x.org/x", None]
+    assert [one(spark, text.is_song_link(F.lit(x).cast("string"))) for x in links] == [True, True, False, None]
+    assert one(spark, text.language(F.lit("in tamil, not SANSKRIT"))) == "Sanskrit"
+
+
+def test_validators(spark):
+    truth = spark.createDataFrame([("a", 8), ("b", 8), ("c", None), ("d", 7), ("e", 5)], "track_id string, beats int")
+    told = spark.createDataFrame([("a", 8, None), ("b", 7, None), ("c", 8, None), ("d", None, "no audio")], "track_id string, beats_per_cycle int, problem string")
+    assert tuple(evaluate.tala_validated(truth, told).first()) == (2, 1, 2, 1, 0.5)
+    assert tuple(evaluate.tala_validated(truth.limit(0), told).first()) == (0, 0, 0, 0, None)
+    losses = spark.createDataFrame([(i, x) for i, x in enumerate([5.0, 4.0, 4.0, 4.5, 3.0, 6.0], 1)], "epoch int, loss double")
+    assert tuple(evaluate.stop_epoch(losses, 2).first()) == (2, 4.0, 4) and tuple(evaluate.stop_epoch(losses, 3).first()) == (5, 3.0, 6)
+    assert evaluate.stop_epoch(losses.limit(0)).collect() == [] and tuple(evaluate.weighted_loss(losses.limit(0).withColumn("n", F.lit(1))).first()) == (0.0, 0)
+
+
+def test_probable_pitch():
+    rate = 22_050
+    t = np.arange(rate * 2) / rate
+    tone = np.concatenate([np.zeros(rate // 2), 0.5 * np.sin(2 * np.pi * 220 * t), 0.5 * np.sin(2 * np.pi * 330 * t)]).astype(np.float32)
+    found = audio.probable_pitch_track(tone, rate)
+    low, high = found[rate // 2 // 128 + 20 : rate * 5 // 2 // 128 - 20], found[rate * 5 // 2 // 128 + 20 : -30]
+    assert np.abs(low - 220).max() < 3 and np.abs(high - 330).max() < 4 and (found[:50] == 0).all()
+    assert len(audio.probable_pitch_track(np.zeros(0), rate)) == 0 and (audio.probable_pitch_track(np.zeros(rate, np.float32), rate) == 0).all()
+
+
 def test_tables(spark):
     held = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     new = spark.createDataFrame([("b", 3), ("b", 4), ("c", 5)], "k string, v int")

@@ -140,6 +140,36 @@ def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[0]
 
 
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each container size: the texts packed, and the containers over their capacity, the texts that were split
+    without need and the texts whose pieces don't add up to them; of the last three there must be none."""
+    sizes = written(token_counts(table(spark, sf_dir, "documents"), ["doc_id"]), "sizes")
+    limits = table(spark, sf_dir, "pack_limits")
+    rows = written(packing.packed(sizes, limits), "packed").join(F.broadcast(limits), "container")
+    filled = rows.groupBy("container", "container_id", "capacity_tokens").agg(F.sum("n_tokens").alias("n"))
+    over = filled.groupBy("container").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("overfull"))
+    texts = rows.groupBy("container", "capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces")).join(sizes, "doc_id")
+    told = texts.groupBy("container").agg(
+        F.count("*").alias("n_docs"), F.count_if((F.col("n_tokens") <= F.col("capacity_tokens")) & (F.col("pieces") > 1)).alias("split_needlessly"), F.count_if(F.col("n") != F.col("n_tokens")).alias("not_whole"))
+    return told.join(over, "container").select("container", "n_docs", "overfull", "split_needlessly", "not_whole")
+
+
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source with a target: the texts used beyond its cap, of which there must be none, and whether it has its
+    share, unless that was out of reach. Shares may lack a text for each leaf, here at most two parts in a hundred."""
+    chosen, shares = _mixture(spark, sf_dir)
+    targets = F.broadcast(table(spark, sf_dir, "mix_targets"))
+    over = chosen.join(targets, "source", "left").groupBy("source").agg(F.count_if(F.coalesce(F.col("uses") > F.col("max_repeats"), F.lit(True))).alias("over"))
+    kept = shares.join(over, "source", "left").filter("target_share is not null or used_tokens > 0")
+    return kept.select("source", F.coalesce("over", F.lit(0)).cast("long").alias("over_cap"), (F.col("short") | (F.col("actual_share") >= F.col("target_share") - 0.02)).alias("has_share"))
+
+
+def p2_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each table: the rows that have a split, and the groups that have rows in more than one, of which there must be none."""
+    told = p2_assignment(spark, sf_dir).groupBy("table_name", "group_key").agg(F.count("split_name").alias("n"), F.countDistinct("split_name").alias("splits"))
+    return told.groupBy("table_name").agg(F.sum("n").alias("n_rows"), F.count_if(F.col("group_key").isNotNull() & (F.col("splits") > 1)).alias("torn"))
+
+
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source."""
     return _mixture(spark, sf_dir)[1]
@@ -176,6 +206,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_assignment": p2_assignment,
     "p2_shares": p2_shares,
+    "p2_invariants": p2_invariants,
     "p3_found": p3_found,
     "p3_entries": p3_entries,
     "p3_unmatched": p3_unmatched,
@@ -188,8 +219,10 @@ QUERIES = {
     "p10_rates": p10_rates,
     "p8_packed": p8_packed,
     "p8_fill": p8_fill,
+    "p8_invariants": p8_invariants,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_invariants": p9_invariants,
     "p6_found": p6_found,
     "p6_names": p6_names,
     "p5_found": p5_found,
@@ -200,5 +233,8 @@ QUERIES = {
 _NEEDS = r"""(x <> nfc_normalize(x) OR regexp_matches(x, '[\x{AD}\x{A0}\x{200B}-\x{200F}\x{202A}-\x{202F}\x{2060}-\x{2064}\x{2000}-\x{200A}\x{205F}\x{3000}\x{FEFF}\x{FF01}-\x{FFEE}]')
   OR (regexp_matches(x, '[\p{Cyrillic}\p{Greek}\p{Armenian}]') AND NOT regexp_matches(x, '[бгджзилнптфцчшщъыьэюяБГДЖЗИЛПФЦЧШЩЪЫЬЭЮЯβδεζηθκλμξπστφχψωΓΔΘΛΞΠΣΦΨΩ]')))"""
 SQL = {
+    "p2_invariants": "SELECT 'tracks_meta' AS table_name, count(*) AS n_rows, 0 AS torn FROM tracks_meta UNION ALL SELECT 'scraped_compositions', count(*), 0 FROM scraped_compositions",
+    "p8_invariants": "SELECT container, (SELECT count(*) FROM documents WHERE text <> '') AS n_docs, 0 AS overfull, 0 AS split_needlessly, 0 AS not_whole FROM pack_limits",
+    "p9_invariants": "SELECT source, 0 AS over_cap, true AS has_share FROM mix_targets",
     "p5_found": " UNION ALL ".join(f"SELECT '{t}.{c}' AS field, row_id FROM (SELECT row_id, {c} AS x FROM {t}) WHERE x IS NOT NULL AND {_NEEDS}" for t, c in TYPED),
 }

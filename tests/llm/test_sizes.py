@@ -69,13 +69,24 @@ def test_mixture(spark, bucket):
     docs = [(i, ("a", "b", "c", None)[i % 4], ("en", None)[i % 3 == 0], i % 11) for i in range(400)] + [(999, "a", "en", None)]
     targets = spark.createDataFrame([("a", 0.7, 2), ("b", 0.2, 1), ("gone", 0.1, 3), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
     df = spark.createDataFrame(docs, "doc_id long, source string, lang string, n_tokens long")
-    chosen, shares = mixed(df, targets, {}, total=1000.0, bucket_rows=bucket)
+    chosen, shares = mixed(df, targets, None, total=1000.0, bucket_rows=bucket)
     rows, report = chosen.collect(), {r["source"]: r for r in shares.collect()}
     cap = {"a": 2, "b": 1}
     assert rows and all(1 <= r["uses"] <= cap[r["source"]] for r in rows) and len({r["doc_id"] for r in rows}) == len(rows)
     used = sum(r["uses"] * r["n_tokens"] for r in rows)
     assert 900 <= used <= 1000 and abs(report["a"]["actual_share"] - 0.78) < 0.06
     assert report["gone"]["short"] and report["c"]["used_tokens"] == 0 and report["c"]["target_share"] is None
-    again = {(r["doc_id"], r["uses"]) for r in mixed(df.repartition(5), targets, {}, total=1000.0, bucket_rows=bucket)[0].collect()}
+    again = {(r["doc_id"], r["uses"]) for r in mixed(df.repartition(5), targets, None, total=1000.0, bucket_rows=bucket)[0].collect()}
     assert again == {(r["doc_id"], r["uses"]) for r in rows}
-    assert mixed(df.limit(0), targets, {})[0].collect() == [] and mixed(df, targets.limit(0), {})[0].collect() == []
+    assert mixed(df.limit(0), targets)[0].collect() == [] and mixed(df, targets.limit(0))[0].collect() == []
+
+
+def test_a_short_source_is_made_up_for_in_its_domain_and_language(spark):
+    docs = [(0, "small", "en", "d1", 10)] + [(i, "big", "en", "d1", 10) for i in range(1, 100)]
+    docs += [(i, "big", "de", "d1", 10) for i in range(100, 200)] + [(i, "far", "en", "d2", 10) for i in range(200, 300)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, lang string, domain string, n_tokens long")
+    targets = spark.createDataFrame([("small", 0.4, 1), ("big", 0.3, 2), ("far", 0.3, 2)], "source string, target_share double, max_repeats int")
+    rows = mixed(df, targets, "domain", total=1000.0)[0].join(df.select("doc_id", "domain"), "doc_id").collect()
+    used = {(k, x): sum(r["uses"] * r["n_tokens"] for r in rows if r["source"] == k and r["lang"] == x) for k, x in (("small", "en"), ("big", "en"), ("big", "de"), ("far", "en"))}
+    # big has 300 by its share, half in each language; small's 390 that are missing go to its English texts alone
+    assert used == {("small", "en"): 10, ("big", "en"): 530, ("big", "de"): 150, ("far", "en"): 300}

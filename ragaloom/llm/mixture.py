@@ -14,6 +14,7 @@ from ragaloom.session import Written
 BUCKET_ROWS = 20_000
 #: Leaves (paths of the tree) that are planned in the driver; more is an error, not a cut.
 MOST_LEAVES = 100_000
+BETWEEN = "\x1f"
 
 
 @dataclass
@@ -87,25 +88,29 @@ def rise(root: Node, total: float) -> None:
     down(root, total)
 
 
-def mixed(sizes: DataFrame, targets: DataFrame, domains: dict[str, str], total: float | None = None, seed: int = 7, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(chosen, shares) of ``sizes`` (doc_id, source, lang, n_tokens) by ``targets`` (source, target_share, max_repeats).
+def mixed(sizes: DataFrame, targets: DataFrame, domain: str | None = None, total: float | None = None, seed: int = 7, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(chosen, shares) of ``sizes`` (doc_id, source, lang, n_tokens and the column ``domain``, if one is named) by
+    ``targets`` (source, target_share, max_repeats).
 
-    The tree has domains (``domains`` by source, others stand alone), in them sources, in them languages. Weights come
-    from the targets; a source's languages share its weight by their tokens. A leaf can give max_repeats epochs of its
-    tokens. A shortage goes to the siblings first, so a source short in one language takes more of its others, and only
-    what a domain can't give goes to other domains. ``total`` tokens are mixed; by default as many as the targeted
-    sources have.
+    The tree has domains, in them languages, in them sources; without a domain column there is one domain. Weights come
+    from the targets: the leaves of a source share its weight by their tokens. A leaf can give max_repeats epochs of
+    its tokens, so a source that can't reach its target falls short in all of its leaves alike. Such a shortage goes to
+    the other sources of that domain and language first, what they can't take to the domain's other languages, and only
+    the rest to other domains. ``total`` tokens are mixed; by default as many as the targeted sources have.
 
     A leaf's texts are ordered by a seeded hash of the epoch; a leaf is used for whole epochs and then for the longest
     prefix of the next epoch whose tokens stay within the budget. No text is split or used more often than its cap.
     The prefix is found by buckets of the hash, so that no task orders a whole leaf.
 
     ``chosen``: doc_id, source, lang, n_tokens, uses int (at least 1). ``shares``: source, target_share, max_repeats,
-    available_tokens, used_tokens, actual_share, short (the target was out of reach); sources without a target are
-    listed with null targets and use nothing. Null sources count as sources without a target, null languages as one
-    language; texts without tokens are left out. Null or negative shares count as 0, null repeats as 1.
+    available_tokens, used_tokens, actual_share, rounding (the most that the leaves' prefixes may lack of a share),
+    short (the target was out of reach); sources without a target are listed with null targets and use nothing. Null
+    sources count as sources without a target, null domains and languages as one of their kind; texts without tokens
+    are left out. Null or negative shares count as 0, null repeats as 1. More than MOST_LEAVES leaves are an error:
+    domains, languages and sources are names, not free text.
     """
-    rows = sizes.filter("n_tokens > 0").select("doc_id", "source", "lang", "n_tokens", F.coalesce("lang", F.lit("?")).alias("leaf"))
+    part = F.coalesce(F.col(f"`{domain}`").cast("string"), F.lit("?")) if domain else F.lit("*")
+    rows = sizes.filter("n_tokens > 0").select("doc_id", "source", "lang", "n_tokens", F.concat_ws(BETWEEN, part, F.coalesce("lang", F.lit("?"))).alias("leaf"))
     held = Written(rows, "mix").df
     stock = held.groupBy("source", "leaf").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).limit(MOST_LEAVES + 1).collect()
     if len(stock) > MOST_LEAVES:
@@ -116,12 +121,13 @@ def mixed(sizes: DataFrame, targets: DataFrame, domains: dict[str, str], total:
         have[r["source"]] = have.get(r["source"], 0) + r["tokens"]
     if total is None:
         total = float(sum(n for s, n in have.items() if wanted.get(s, (0, 0))[0] > 0))
-    leaves = [((domains.get(r["source"], r["source"]), r["source"], r["leaf"]), wanted[r["source"]][0] * r["tokens"] / have[r["source"]], float(r["tokens"] * wanted[r["source"]][1])) for r in stock if r["source"] in wanted]
+    leaves = [((*r["leaf"].split(BETWEEN), r["source"]), wanted[r["source"]][0] * r["tokens"] / have[r["source"]], float(r["tokens"] * wanted[r["source"]][1])) for r in stock if r["source"] in wanted]
     scale = sum(w for _, w, _ in leaves)
     budgets = plan(leaves, total) if scale > 0 else {}
     stocked = {(r["source"], r["leaf"]): r for r in stock}
     steps = []
-    for (_, source, leaf), budget in budgets.items():
+    for (*path, source), budget in budgets.items():
+        leaf = BETWEEN.join(path)
         r = stocked[source, leaf]
         epochs = min(int((budget + 1e-6) // r["tokens"]), wanted[source][1])
         rest = budget - epochs * r["tokens"] if epochs < wanted[source][1] else 0.0
@@ -142,11 +148,12 @@ def mixed(sizes: DataFrame, targets: DataFrame, domains: dict[str, str], total:
     chosen = inside.unionByName(at_edge).unionByName(outside).select("doc_id", "source", "lang", "n_tokens", (F.col("epochs") + F.col("extra")).alias("uses")).filter("uses > 0")
     chosen = Written(chosen, "chosen").df
     used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"))
-    stock_table = held.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
+    stock_table = held.groupBy("source", "leaf").agg(F.sum("n_tokens").alias("t"), F.max("n_tokens").alias("m")).groupBy("source").agg(F.sum("t").alias("available_tokens"), F.sum("m").alias("longest"))
     named = targets.dropna(subset=["source"]).select("source", "target_share", "max_repeats")
     all_used = chosen.agg(F.sum(F.col("n_tokens") * F.col("uses"))).first()[0] or 0
     shares = named.join(stock_table, "source", "full_outer").join(used, "source", "left").select(
-        "source", "target_share", "max_repeats", F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"), F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"))
-    shares = shares.withColumn("actual_share", F.col("used_tokens") / F.lit(float(max(all_used, 1))))
+        "source", "target_share", "max_repeats", F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"), F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), F.coalesce("longest", F.lit(0)).alias("longest"))
+    part = lambda c: F.col(c) / F.lit(float(max(all_used, 1)))
+    shares = shares.withColumn("actual_share", part("used_tokens")).withColumn("rounding", part("longest")).drop("longest")
     goal = F.col("target_share") / F.lit(float(sum(s for s, _ in wanted.values()) or 1.0)) * F.lit(float(total))
     return chosen, shares.withColumn("short", F.coalesce(F.col("available_tokens") * F.col("max_repeats") < goal, F.lit(False)))

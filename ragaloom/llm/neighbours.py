@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from math import acos, ceil, log, log1p, log2, pi
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragaloom.llm.batches import runs
 from ragaloom.operators.skew import attach
 from ragaloom.session import written
 
@@ -17,6 +19,8 @@ from ragaloom.session import written
 BLOCK = 8192
 #: Projections, the half width of a window for each unit of distance, and the collisions from which a pair is verified.
 PROJECTIONS, WIDTH, COLLISIONS = 32, 1.118, 18
+#: Vectors of a cell, about, and the part of the pairs at the floor that no table may bring together.
+CELL, MISSED = 4096, 0.02
 #: Places of a sorted projection where windows may begin and end.
 STEPS = 256
 
@@ -39,11 +43,11 @@ def projections(size: int, seed: int = 11) -> np.ndarray:
 
 
 class Index:
-    """A block's projections, each sorted by itself, and bit sets of the vectors before each step of the order."""
+    """A block's projections (``shadows``), each sorted by itself, and bit sets of the vectors before each step of the order."""
 
-    def __init__(self, vectors: np.ndarray, directions: np.ndarray) -> None:
-        self.vectors, self.shadows = vectors, vectors @ directions
-        n = len(vectors)
+    def __init__(self, shadows: np.ndarray, vectors: np.ndarray | None = None) -> None:
+        self.vectors, self.shadows = vectors, shadows
+        n = len(shadows)
         self.step, words = -(-n // STEPS), -(-n // 64)
         order = np.argsort(self.shadows, axis=0, kind="stable")
         self.sorted = np.ascontiguousarray(np.take_along_axis(self.shadows, order, 0).T)
@@ -149,7 +153,7 @@ def _meet(k: int, levels: tuple[float, ...], rest: bool):
         for b, side in sides.items():
             if len(side):
                 vectors = np.frombuffer(b"".join(side["vector"]), np.float32).reshape(len(side), -1)
-                held[b] = (side["group"].to_numpy(), Index(vectors, projections(vectors.shape[1])))
+                held[b] = (side["group"].to_numpy(), Index(vectors @ projections(vectors.shape[1]), vectors))
         found = []
         for a, b in {(i, j), (j, i)}:
             if a in held and b in held:
@@ -162,6 +166,93 @@ def _meet(k: int, levels: tuple[float, ...], rest: bool):
     return run
 
 
+def cells(n: int, floor: float) -> tuple[int, int]:
+    """(bits, tables): how many signs make a cell of about CELL of n vectors, and how many such tables bring all but
+    MISSED of the pairs of similarity ``floor`` into one cell at least. Two vectors have a sign in common with a
+    probability of 1 - angle / pi, so the tables grow as a small power of n."""
+    bits = max(0, ceil(log2(max(n, 1) / CELL)))
+    together = (1 - acos(min(max(floor, -1.0), 1.0)) / pi) ** bits
+    return bits, 1 if together >= 1 else max(1, ceil(log(MISSED) / log1p(-together)))
+
+
+def small(vectors: np.ndarray) -> np.ndarray:
+    """Vectors in 16-bit steps of their largest value."""
+    return np.rint(vectors * (32767 / np.abs(vectors).max(1, keepdims=True))).astype(np.int16)
+
+
+def large(steps: np.ndarray) -> np.ndarray:
+    """Unit vectors out of steps."""
+    vectors = steps.astype(np.float32)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def _celled(bits: int, tables: int, whole: bool):
+    """For each vector and table its cell, a number made of signs, and with ``whole`` the vector in 16-bit steps."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            vectors = np.frombuffer(b"".join(batch["vector"]), np.float32).reshape(len(batch), -1)
+            signs = np.random.default_rng(23).standard_normal((vectors.shape[1], bits * tables)).astype(np.float32)
+            key = ((vectors @ signs) > 0).reshape(len(batch), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+            out = pd.DataFrame({"t": np.tile(np.arange(tables, dtype=np.int32), len(batch)), "cell": key.ravel()})
+            if whole:
+                out["group"] = np.repeat(batch["group"].to_numpy(), tables)
+                out["vector"] = np.repeat(np.array([v.tobytes() for v in small(vectors)], dtype=object), tables)
+            yield out
+
+    return run
+
+
+def _met(k: int, levels: tuple[float, ...]):
+    """The k best of each vector in its cell, or in each tile of a large cell."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[tuple[str, str, float]] = []
+        for (_, _, i, j), rows in runs(batches, ["t", "cell", "i", "j"]):
+            sides = {}
+            for tile in {i, j}:
+                mine = [r for r in rows if r[5] == tile]
+                if mine:
+                    vectors = large(np.frombuffer(b"".join(r[6] for r in mine), np.int16).reshape(len(mine), -1))
+                    sides[tile] = [r[4] for r in mine], Index(vectors @ projections(vectors.shape[1]), vectors)
+            for a, b in {(i, j), (j, i)}:
+                if a in sides and b in sides:
+                    names, mine = sides[a]
+                    others, index = sides[b]
+                    for q, v, near in zip(*(x.tolist() for x in best_in(mine.vectors, mine.shadows, index, k, levels, False, a == b)), strict=True):
+                        found.append((names[q], others[v], near))
+            if len(found) > 20_000:
+                yield pd.DataFrame(found, columns=["group", "other", "similarity"])
+                found = []
+        yield pd.DataFrame(found, columns=["group", "other", "similarity"]).astype({"similarity": float})
+
+    return run
+
+
+def collided(distinct: DataFrame, k: int, floor: float, block: int) -> DataFrame:
+    """(group, other, similarity) of distinct vectors (group, vector): the k best that each vector has of at least
+    ``floor``, and perhaps more, without the few pairs that no window or table brings together.
+
+    Vectors meet in cells: each of several tables cuts them by the signs of a few random projections, so a vector is
+    searched for in its cells only, and is shuffled once for each table. In a cell, collisions are counted in windows of
+    sorted projections, and pairs that collide often enough are verified. A cell of more than ``block`` vectors is cut
+    into tiles that meet in pairs, so no task gets more than two.
+    """
+    bits, tables = cells(distinct.count(), floor)
+    levels = (0.97, floor) if floor < 0.97 else (floor,)
+    sizes = distinct.mapInPandas(_celled(bits, tables, False), "t int, cell bigint").groupBy("t", "cell").agg(F.count("*").alias("n"))
+    sizes = sizes.filter("n > 1").select("t", "cell", F.ceil(F.col("n") / block).cast("int").alias("tiles"))
+    placed = distinct.mapInPandas(_celled(bits, tables, True), "t int, cell bigint, `group` string, vector binary")
+    rows = attach(placed, sizes, ["t", "cell"], "inner").withColumn("tile", F.pmod(F.xxhash64("group"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    met = rows.select("t", "cell", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "group", "tile", "vector")
+    parts = max(tables * 2 ** min(bits, 10) // 4, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = met.repartition(parts, "t", "cell", "i", "j").sortWithinPartitions("t", "cell", "i", "j").mapInPandas(_met(k, levels), "`group` string, other string, similarity double")
+    return pairs.groupBy("group", "other").agg(F.max("similarity").alias("similarity"))
+
+
 def _read(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -175,28 +266,32 @@ def _read(length: int):
     return run
 
 
+def searched(distinct: DataFrame, k: int, block: int) -> DataFrame:
+    """(group, other, similarity): the k best of each meeting of blocks of distinct vectors (group, vector). Queries whose
+    windows don't hold k vectors of 0.9 are compared with the whole block."""
+    blocks = max(1, -(-distinct.count() // block))
+    placed = distinct.withColumn("block", F.pmod(F.xxhash64("group"), F.lit(blocks)).cast("int"))
+    met = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "group", "vector")
+    return met.repartition(blocks * (blocks + 1) // 2, "i", "j").groupBy("i", "j").applyInPandas(_meet(k, (0.97, 0.9), True), "`group` string, other string, similarity double")
+
+
 def neighbours(vectors: DataFrame, id_column: str, column: str, k: int = 5, length: int = 500, floor: float | None = None, block: int = BLOCK) -> DataFrame:
     """(id, other, similarity, rank): the k vectors of highest Pearson correlation for every usable vector.
 
     Usable are vectors of ``length`` finite values that aren't all equal; others, null ones included, are left out, as
-    are null ids; ids must be unique. With ``floor`` only neighbours of at least that similarity are wanted, and the
-    windows stop there; without, vectors whose windows don't hold k good neighbours are compared with all.
+    are null ids; ids must be unique. With ``floor`` only neighbours of at least that similarity are wanted, and vectors
+    meet in cells (see ``collided``); without, most vectors have no neighbour that a window could tell from others, so
+    blocks of about ``block`` vectors meet in pairs (see ``searched``).
 
-    Equal vectors are one vector to the search, so copies cost nothing however many there are; afterwards each
-    stands for its smallest k + 1 ids. Blocks of about ``block`` distinct vectors meet in pairs, each pair in one task, both ways;
-    the best k of each meeting merge into the best k of all. Ties go to the smaller id. Similarities are from 32-bit
-    unit vectors; equal vectors have 1.
+    Equal vectors are one vector to the search, so copies cost nothing however many there are; afterwards each stands
+    for its smallest k + 1 ids. Ties go to the smaller id. Similarities are from unit vectors of 32 bits, with
+    ``floor`` of 16-bit steps (off by less than 0.0001); equal vectors have 1.
     """
     usable = vectors.select(F.col(id_column).alias("id"), F.col(column).cast("array<double>").alias("contour")).dropna(subset=["id"])
     rows = written(usable.mapInPandas(_read(length), f"id {dict(usable.dtypes)['id']}, `group` string, vector binary"), "vectors")
     members = rows.select("id", "group")
     distinct = written(rows.groupBy("group").agg(F.first("vector").alias("vector")), "distinct")
-    n = distinct.count()
-    blocks = max(1, -(-n // block))
-    placed = distinct.withColumn("block", F.pmod(F.xxhash64("group"), F.lit(blocks)).cast("int"))
-    met = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "group", "vector")
-    levels = (0.97, floor) if floor is not None and floor < 0.97 else (floor,) if floor is not None else (0.97, 0.9)
-    pairs = met.repartition(blocks * (blocks + 1) // 2, "i", "j").groupBy("i", "j").applyInPandas(_meet(k, levels, floor is None), "`group` string, other string, similarity double")
+    pairs = collided(distinct, k, floor, block) if floor is not None else searched(distinct, k, block)
     ranked = pairs.withColumn("r", F.expr("row_number() over (partition by `group` order by similarity desc, other)")).filter(F.col("r") <= k).select("group", "other", "similarity")
     ranked = written(ranked, "ranked")
     few = members.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", F.expr("row_number() over (partition by `group`, s order by id)")).filter(F.col("r") <= k + 1)

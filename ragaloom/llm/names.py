@@ -21,7 +21,7 @@ from ragaloom.session import written
 TITLES = frozenset("sri shri smt pt pandit ustad prof professor dr vidushi vidwan vid mr mrs ms kum".split())
 SEVERAL = r"[&/+;]|\s(?:and|with|feat)\s"
 WORD = regex.compile(r"[^\W\d_]+")
-#: Names of one block that meet in a task; a larger block is cut into tiles of this size, each pair of which meets.
+#: Names of one block that meet in a task, about; a larger block is cut (see ``links``).
 TILE = 400
 SAME, PART, INITIAL = 0, 1, 2
 
@@ -132,11 +132,31 @@ def _less(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     return (sum(len(x) > 1 for x in a), len(a), sum(map(len, a)), b) < (sum(len(x) > 1 for x in b), len(b), sum(map(len, b)), a)
 
 
+def shortened(word: str) -> set[str]:
+    """The word with up to as many letters left out as edits are allowed of it: words that ``alike`` accepts share one."""
+    out, last = {word}, {word}
+    for _ in range(1 if len(word) < 7 else 2):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out |= last
+    return out
+
+
+def finer_keys(block: str, words: tuple[str, ...]) -> set[str]:
+    """Finer blocks of a name in the large block of a word's code and a first letter: by that letter's words, with letters
+    left out. Names that give the letter alone aren't in any; they meet all names of the block."""
+    first = block[-1]
+    return {f"{block}~{short}" for w in words if len(w) > 1 and w[0] == first for short in shortened(w)}
+
+
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     out, seen = [], set()
-    for (role, _, i, j), rows in runs(batches, ["role", "block", "i", "j"]):
+    for (role, block, i, j), rows in runs(batches, ["role", "block", "i", "j"]):
         forms = [(r[4], tuple(r[4].split(" ")), r[5]) for r in rows]
-        for (fa, a, ta), (fb, b, tb) in combinations(forms, 2):
+        pairs = combinations(forms, 2)
+        if block.endswith("!"):  # names with an initial, to each of which all names of the block come
+            brief = [f for f in forms if block[-2] in f[1]]
+            pairs = ((f, g) for n, f in enumerate(brief) for g in [*brief[n + 1 :], *(x for x in forms if block[-2] not in x[1])])
+        for (fa, a, ta), (fb, b, tb) in pairs:
             if i != j and ta == tb or (role, fa, fb) in seen:
                 continue
             if len(seen) < 500_000:
@@ -150,19 +170,55 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["role", "a", "b", "kind"])
 
 
+def _split(words: pd.Series) -> pd.Series:
+    return words.map(lambda f: tuple(f.split(" ")))
+
+
+def _keys(forms: pd.Series) -> pd.Series:
+    return _split(forms).map(lambda w: sorted(block_keys(w)))
+
+
+def _finer(blocks: pd.Series, forms: pd.Series) -> pd.Series:
+    return pd.Series([sorted(finer_keys(b, w)) for b, w in zip(blocks, _split(forms), strict=True)], dtype=object)
+
+
 def links(forms: DataFrame) -> DataFrame:
     """(role, a, b, kind) for each pair of forms that share a block and are related; a says less than b.
 
-    A block of up to TILE forms is compared in one task. A larger one is cut into tiles by a hash of the form, and
-    each pair of tiles is a task's work, so no task gets more than about two tiles of a block and no pair is lost.
+    A block of up to TILE forms is compared in one task. A larger one of a word's code and a first letter, as common
+    last names have, is cut finer: names that write the word out meet where their words have a shortened form in common,
+    as all that ``alike`` accepts do, so the work follows the number of names; names with the initial alone, of which
+    there are only the spellings of one last name, meet all others, a tile of these at a time. Any other block that is
+    still larger is cut into tiles by a hash of the form, and each pair of tiles is a task's work. No task gets more
+    than about two tiles of a block, and no pair is lost.
     """
-    keys = F.udf(lambda f: sorted(block_keys(tuple(f.split(" ")))), "array<string>", useArrow=True)
+    keys = F.pandas_udf(_keys, "array<string>")
     blocks = written(forms.select("role", "form", F.explode(keys("form")).alias("block")), "blocks")
-    sizes = blocks.groupBy("role", "block").agg(F.count("*").alias("n")).filter("n > 1").select("role", "block", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    rows = attach(blocks, sizes, ["role", "block"], "inner").withColumn("tile", F.pmod(F.xxhash64("form"), F.col("tiles")).cast("int"))
+    large = blocks.groupBy("role", "block").agg(F.count("*").alias("n")).filter((F.col("n") > TILE) & F.col("block").startswith("i")).select("role", "block", F.ceil(F.col("n") / TILE).cast("int").alias("cut"))
+    large = written(large, "large")
+    if large.isEmpty():
+        return _tiled(blocks)
+    known = attach(blocks, large, ["role", "block"])
+    inside = written(known.filter("cut is not null"), "inside")
+    fine = inside.select("role", "form", F.explode(F.pandas_udf(_finer, "array<string>")("block", "form")).alias("block"))
+    brief = F.array_contains(F.split("form", " "), F.substring(F.col("block"), -1, 1))
+    parts = F.when(brief, F.sequence(F.lit(0), F.col("cut") - 1)).otherwise(F.array(F.pmod(F.xxhash64("form"), F.col("cut")).cast("int")))
+    met = inside.select("role", F.concat("block", F.lit("!")).alias("block"), F.explode(parts).alias("i"), "form", F.lit(0).alias("tile")).select("role", "block", "i", F.col("i").alias("j"), "form", "tile")
+    return _tiled(known.filter("cut is null").select("role", "form", "block").unionByName(fine)).unionByName(_related(met)).distinct()
+
+
+def _tiled(blocks: DataFrame) -> DataFrame:
+    """The related pairs of each block; large ones are cut into tiles that meet in pairs."""
+    held = written(blocks, "cut")
+    sizes = held.groupBy("role", "block").agg(F.count("*").alias("n")).filter("n > 1").select("role", "block", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    rows = attach(held, sizes, ["role", "block"], "inner").withColumn("tile", F.pmod(F.xxhash64("form"), F.col("tiles")).cast("int"))
     tiled = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("role", "block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "form", "tile")
-    parts = max(8, int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return tiled.repartition(parts, "role", "block", "i", "j").sortWithinPartitions("role", "block", "i", "j", "form").mapInPandas(_compare, "role string, a string, b string, kind int").distinct()
+    return _related(tiled)
+
+
+def _related(met: DataFrame) -> DataFrame:
+    parts = max(8, int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return met.repartition(parts, "role", "block", "i", "j").sortWithinPartitions("role", "block", "i", "j", "form").mapInPandas(_compare, "role string, a string, b string, kind int").distinct()
 
 
 def persons(values: DataFrame, nicknames: DataFrame) -> DataFrame:
@@ -177,7 +233,7 @@ def persons(values: DataFrame, nicknames: DataFrame) -> DataFrame:
     """
     known = {r[0].casefold(): r[1].casefold() for r in nicknames.dropna().collect() if r[0] and r[1]}
     alone = values.filter(F.expr("name <> ''") & ~F.lower("name").rlike(SEVERAL)).distinct()
-    parse = F.udf(lambda v: " ".join(tokens(v, known)), "string", useArrow=True)
+    parse = F.pandas_udf(lambda names: names.map(lambda v: " ".join(tokens(v, known))), "string")
     named = written(alone.withColumn("form", parse("name")), "names")
     forms = named.select("role", "form").filter("form <> ''").distinct()
     found = written(links(forms), "links")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from ragaloom.llm import names as N
@@ -51,3 +53,25 @@ def test_persons_are_judged_again_after_merges(spark):
 @pytest.mark.parametrize(("a", "b", "want"), [("Nububhun Dhitholuvepu", "Nbubhun Dhitholuvepu", True), ("Thunomuvugu Shamiri", "Shamiri Thenomuvugu", True), ("Kal Zedoru", "Kim Zedoru", False), ("Talo Zedoru", "Tilo Zedoru", False)])
 def test_one_edit_in_a_long_word(a, b, want):
     assert (N.relation(N.tokens(a, {}), N.tokens(b, {})) == N.SAME) == want
+
+
+def test_large_blocks_lose_no_link(spark, monkeypatch):
+    r = random.Random(3)
+    sound = lambda n: "".join(r.choice("bdgjklmnprst") + r.choice("aeiou") for _ in range(n))
+    last = [sound(4) for _ in range(3)]
+    first = [x[0] + sound(3) for x in ("k", "k", "m") for _ in range(25)]
+
+    def typed(w):
+        i = r.randrange(1, len(w))
+        return r.choice([w, w, w[:i] + w[i + 1 :], w[:i] + r.choice("aeioun") + w[i:], w[: i - 1] + w[i] + w[i - 1] + w[i + 1 :]])
+
+    forms = {" ".join(x) for f in first for w in last for x in ((typed(f), typed(w)), (f[0], w), (typed(f), r.choice(first)[0], w))}
+    df = spark.createDataFrame([("artist", f) for f in sorted(forms)] + [("composer", f) for f in sorted(forms)[:9]], "role string, form string")
+    whole = {tuple(x) for x in N.links(df).collect()}
+    monkeypatch.setattr(N, "TILE", 12)
+    assert {tuple(x) for x in N.links(df).collect()} == whole and len(whole) > 500
+
+
+def test_shortened_words_meet():
+    for a, b in (("rama", "ramma"), ("nububhun", "nbubhun"), ("thunomuvugu", "thenomuvguu"), ("abcdefg", "abcdef"), ("kola", "kloa")):
+        assert N.shortened(a) & N.shortened(b)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ragaloom.operators.skew import attach
 from ragaloom.session import Written
 
 
-def _sum(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("v", "u") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _kept(df: DataFrame) -> tuple[Written, tuple]:
+    """The written clusters, and their number and sums as seen while they were written. A task that is run again may count
+    twice; then the sums differ from those before, and another round is made."""
+    seen = Observation()
+    sums = (F.count("*").alias("n"), F.sum(F.xxhash64("v", "u") % 1_000_003).alias("s"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
+    held = Written(df.observe(seen, *sums), "clusters")
+    return held, tuple(seen.get[k] for k in "nsx")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,13 +29,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     clean = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).dropna()
     both = clean.unionByName(clean.select(F.col("u").alias("v"), F.col("v").alias("u")))
-    held = Written(both.unionByName(both.select("v", F.col("v").alias("u"))).distinct(), "clusters")
+    held, now = _kept(both.unionByName(both.select("v", F.col("v").alias("u"))).distinct())
     before = None
-    while (now := _sum(held.df)) != before:
+    while now != before and now[0]:
         before = now
         least = held.df.groupBy("v").agg(F.min("u").alias("m"))
         sent = attach(held.df, least, ["v"], "inner")
-        after = Written(sent.select(F.explode(F.array(F.struct(F.col("m").alias("v"), "u"), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x")).select("x.*").distinct(), "clusters")
+        after, now = _kept(sent.select(F.explode(F.array(F.struct(F.col("m").alias("v"), "u"), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x")).select("x.*").distinct())
         held.drop()
         held = after
     return held.df.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))

@@ -239,20 +239,21 @@ def persons(values: DataFrame, nicknames: DataFrame) -> DataFrame:
     found = written(links(forms), "links")
     node = lambda c: F.concat_ws("\x1f", "role", c)
     edges = found.select(node("a").alias("a"), node("b").alias("b"), "kind")
-    taken = edges.filter(F.col("kind") == SAME).select("a", "b")
-    label = written(components(taken), "persons")
+    nodes = forms.select(node("form").alias("node"))
+    sure = components(edges.filter(F.col("kind") == SAME).select("a", "b"))
+    label = written(attach(nodes, sure, ["node"]).select("node", F.coalesce("component", "node").alias("component")), "persons")
     step, kinds = 0, (PART, INITIAL)
     while step < len(kinds):
         weak = edges.filter(F.col("kind") == kinds[step]).select("a", "b")
         for side in ("a", "b"):
-            weak = attach(weak, label.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), [side])
-        weak = weak.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a <> b")
+            weak = attach(weak, label.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), [side], "inner")
+        weak = weak.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).filter("a <> b")
         sure = written(weak.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("last")).filter("b = last").select("a", "b"), "sure")
         if sure.isEmpty():
             step += 1
             continue
-        taken = taken.unionByName(sure)
-        label = written(components(taken), "persons")
+        merged = components(sure).select(F.col("node").alias("component"), F.col("component").alias("into"))
+        label = written(attach(label, merged, ["component"]).select("node", F.coalesce("into", "component").alias("component")), "persons")
         step = 0  # two persons that a name fitted may be one now
     out = attach(named.select("role", "name", node("form").alias("node")), label, ["node"])
     return out.select("role", "name", F.when(F.col("node").endswith("\x1f"), F.concat(F.lit("!"), "name")).otherwise(F.coalesce("component", "node")).alias("person"))

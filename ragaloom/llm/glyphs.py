@@ -15,7 +15,10 @@ LOOK_ALIKES = {
     "Cyrillic": ("АВЕЅІЈКМНОРСТУХаеѕіјоԁһрԛсуԝх", "ABESIJKMHOPCTYXaesijodhpqcywx"),
     "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγιϳνορυϲ", "ABEZHIKMNOPTYXayijvopuc"),
     "Armenian": ("ՕՍօհոսցզ", "OUohnugq"),
+    "Cherokee": ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᎩᏃ", "ABCDEGHJKLMPRSTVWYZ"),
 }
+# Letters of Latin phonetic writing that look like ordinary ones.
+PHONETIC = {"ɑ": "a", "ɡ": "g"}
 #: Characters of general category Cf that have a visible glyph of their own.
 VISIBLE_FORMAT = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
 #: Invisible characters outside category Cf.
@@ -26,7 +29,8 @@ PLAIN, ALIKE = 0, 1
 def rules() -> dict[str, tuple[str, int, str]]:
     """The mapping, derived from the character database: text -> (consistent text, PLAIN or ALIKE, alphabet).
 
-    Widths come from the wide and narrow decompositions, accents from all canonical compositions, spaces from category
+    Widths come from the wide and narrow decompositions, letters and digits of mathematical alphabets and the letters for
+    Roman numbers from theirs, accents from all canonical compositions, spaces from category
     Zs, invisible characters from Cf and Cc, look-alikes from LOOK_ALIKES. Two rules for one text must agree.
     """
     made: dict[str, tuple[str, int, str]] = {}
@@ -50,6 +54,9 @@ def rules() -> dict[str, tuple[str, int, str]]:
         elif cat != "Cn" and (parts := ud.decomposition(ch)):
             if parts.startswith(("<wide>", "<narrow>")):
                 rule(ch, ud.normalize("NFC", ud.normalize("NFKC", ch)))
+            elif parts.startswith("<font>") or 0x2160 <= cp < 0x2180 and len(parts.split()) == 2:
+                if len(plain := ud.normalize("NFKC", ch)) == 1 and plain.isascii() and plain.isalnum():
+                    rule(ch, plain)
             elif parts[0] != "<" and not 0xAC00 <= cp < 0xD7A4:
                 full, whole = ud.normalize("NFD", ch), ud.normalize("NFC", ch)
                 if full != whole:
@@ -58,6 +65,8 @@ def rules() -> dict[str, tuple[str, int, str]]:
                     rule(ch, whole)
                 elif len(two := "".join(chr(int(x, 16)) for x in parts.split())) > 1 and two != full:
                     rule(two, whole)
+    for a, b in PHONETIC.items():
+        rule(a, b)
     for alphabet, (theirs, latin) in LOOK_ALIKES.items():
         for a, b in zip(theirs, latin, strict=True):
             rule(a, b, ALIKE, alphabet)

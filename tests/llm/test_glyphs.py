@@ -21,6 +21,10 @@ from ragaloom.llm.glyphs import LOOK_ALIKES, consistent, consistent_values, rule
         ("a b c\td\n", "a b c\td\n"),
         ("लुबष‌ु", "लुबषु"),
         ("KΩ", "KΩ"),
+        ("Ⅽhaya ɑlɑp", "Chaya alap"),
+        ("𝒦𝐨lavu 𝟭", "Kolavu 1"),
+        ("ᎪlᏢ", "AlP"),
+        ("ᎪᎫ ᏣᎳᎩ", "ᎪᎫ ᏣᎳᎩ"),
     ],
 )
 def test_forms(text, form):

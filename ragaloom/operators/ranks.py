@@ -21,6 +21,12 @@ def sliced(df: DataFrame, column: str, slices: int = SLICES) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>"), lambda c: c < number)) if cuts else F.lit(0)
 
 
+def by_letters(column: Column) -> Column:
+    """The slice of a text by its first three characters; it grows with the order of texts."""
+    letter = lambda i: F.ascii(F.substring(column, i, 1)).cast("long")
+    return F.coalesce(letter(1) * (1 << 42) + letter(2) * (1 << 21) + letter(3), F.lit(0).cast("long"))
+
+
 def ranked(df: DataFrame, keys: list[str], piece: Column, order: list[Column], name: str = "rank") -> DataFrame:
     """``df`` with its rank (long, from 1) among the rows of its key by ``order``; without keys, among all rows.
 

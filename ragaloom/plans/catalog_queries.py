@@ -349,9 +349,9 @@ def f22_percent(spark, d):
 
 
 def l01_labels(spark, d):
-    """Codes of sorted distinct labels."""
+    """Codes of sorted distinct labels, ranked in slices of their first letters."""
     names = tracks(spark, d).filter("raga <> ''").select("raga").distinct()
-    return names.withColumn("code", F.row_number().over(Window.orderBy("raga")) - 1)  # one row for each class
+    return ranks.ranked(names, [], ranks.by_letters(F.col("raga")), [F.col("raga")], "code").select("raga", (F.col("code") - 1).cast("int").alias("code"))
 
 
 def l05_folds(spark, d):
@@ -367,9 +367,8 @@ def j05_zipped(spark, d):
     c = table(spark, d, "composition_catalog_contours").select("track_id")
     m = table(spark, d, "composition_catalog_meta").select("track_id").dropna().distinct()
 
-    def placed(df, name):  # ids are cut into slices by their first characters, so that the slices are in the ids' order
-        piece = F.coalesce(F.ascii(F.substring("track_id", 1, 1)) * 65536 + F.ascii(F.substring("track_id", 2, 1)) * 256 + F.ascii(F.substring("track_id", 3, 1)), F.lit(0))
-        return ranks.ranked(df, [], piece, [F.col("track_id")], "place").withColumnRenamed("track_id", name)
+    def placed(df, name):
+        return ranks.ranked(df, [], ranks.by_letters(F.col("track_id")), [F.col("track_id")], "place").withColumnRenamed("track_id", name)
 
     return catalog.zipped(placed(c, "contour_id"), placed(m, "meta_id")).select("place", "contour_id", "meta_id")
 

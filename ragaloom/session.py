@@ -68,6 +68,7 @@ class Written:
         fs.deleteOnExit(path)
         self.bytes = fs.getContentSummary(path).getLength()
         self._spark = spark
+        spark._ragaloom_tables = [*getattr(spark, "_ragaloom_tables", []), self.where]
         self.df = spark.read.schema(df.schema).parquet(self.where)
 
     def drop(self) -> None:
@@ -76,6 +77,16 @@ class Written:
         fs.delete(path, True)
 
 
+def discard(spark: SparkSession) -> int:
+    """Deletes all tables of the session in the scratch folder, once nothing reads them any more: a query's result does
+    until it is stored. Returns their number. What isn't discarded goes when the session ends."""
+    tables, spark._ragaloom_tables = getattr(spark, "_ragaloom_tables", []), []
+    for where in tables:
+        path, fs = _path(spark, where)
+        fs.delete(path, True)
+    return len(tables)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows, read back from the scratch folder."""
     return Written(df, label).df

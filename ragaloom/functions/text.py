@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata as ud
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -131,3 +132,12 @@ def prompt(name: Column, composer: Column, raga: Column, tala_name: Column, lang
 def utc_now() -> Column:
     """The time of the query in UTC, as ISO 8601 with microseconds and offset."""
     return F.concat(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
+def joined_url(base: Column, href: Column) -> Column:
+    """The address that a link of a page leads to; null if either is null."""
+
+    def run(bases: pd.Series, links: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else urljoin(a, b) for a, b in zip(bases, links, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "string")(base, href)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 
@@ -55,3 +57,21 @@ def subsequence_similarity(query: np.ndarray, reference: np.ndarray, by_length:
         return 0.0
     least = float(np.sqrt(costs(a, b, free_start=True)[-1, 1:].min()))
     return 1.0 / (1.0 + least / len(a) ** by_length)
+
+
+@dataclass(frozen=True)
+class Matcher:
+    """How two series are compared. The recurrence is that of steps of one weight; ``step_pattern`` names the pattern
+    that a caller has in mind and changes nothing."""
+
+    window: int | None = None
+    step_pattern: str = "symmetric2"
+
+    def distance(self, a: np.ndarray, b: np.ndarray) -> float:
+        return distance(a, b, self.window)
+
+    def similarity(self, a: np.ndarray, b: np.ndarray) -> float:
+        return similarity(a, b, self.window)
+
+    def subsequence(self, a: np.ndarray, b: np.ndarray) -> float:
+        return subsequence_similarity(a, b)

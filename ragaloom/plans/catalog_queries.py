@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ragaloom import service
+from ragaloom import jobs, service
 from ragaloom.functions import text
 from ragaloom.ml import raga
 from ragaloom.operators import catalog, evaluate, ranks, tala
@@ -34,6 +34,24 @@ def s08_bundle(spark, d):
     return tracks(spark, d).join(c, "track_id", "left_semi").filter("tonic > 0").select("row_id", "track_id", F.coalesce(F.expr("nullif(title, '')"), "track_id").alias("title"), F.coalesce("raga", F.lit("")).alias("raga"))
 
 
+def s09_track_index(spark, d):
+    """Tracks that have a tonic, be it 0, and a contour; a title that is missing is the id, one that is empty stays."""
+    c = table(spark, d, "composition_catalog_contours").select("track_id")
+    return tracks(spark, d).join(c, "track_id", "left_semi").filter("tonic is not null").select("row_id", "track_id", F.coalesce("title", "track_id").alias("title"), F.coalesce("raga", F.lit("")).alias("raga"))
+
+
+def s07_skipped(spark, d):
+    """Tracks in all, those with contour, title and tonic, and those that a catalog would skip."""
+    c = table(spark, d, "composition_catalog_contours").select("track_id", F.col("contour").alias("frequencies"))
+    _, told = jobs.usable(tracks(spark, d).select("track_id", "title", "tonic").join(c, "track_id", "left"))
+    return spark.createDataFrame([tuple(told.values())], "total long, usable long, skipped long")
+
+
+def f16_joined(spark, d):
+    """Where a link on a page leads, by its own address."""
+    return scraped(spark, d).select("row_id", text.joined_url(F.col("source_url"), F.lit("c12.shtml")).alias("url"))
+
+
 def s12_training_scan(spark, d):
     return tracks(spark, d).filter("raga <> ''").select("row_id", "raga", F.round(F.coalesce(F.when(F.col("tonic") != 0, F.col("tonic")), F.lit(220.0)), 6).alias("tonic"))
 
@@ -448,6 +466,9 @@ SQL = {
     "s04_tracks": "SELECT track_id, key, title, tonic, raga FROM tracks_meta",
     "s07_usable_tracks": "SELECT row_id, track_id, title, round(tonic, 6) AS tonic FROM tracks_meta WHERE title <> '' AND tonic > 0 AND track_id IN (SELECT track_id FROM composition_catalog_contours WHERE contour IS NOT NULL)",
     "s08_bundle": "SELECT row_id, track_id, coalesce(nullif(title, ''), track_id) AS title, coalesce(raga, '') AS raga FROM tracks_meta WHERE tonic > 0 AND track_id IN (SELECT track_id FROM composition_catalog_contours)",
+    "s09_track_index": "SELECT row_id, track_id, coalesce(title, track_id) AS title, coalesce(raga, '') AS raga FROM tracks_meta WHERE tonic IS NOT NULL AND track_id IN (SELECT track_id FROM composition_catalog_contours)",
+    "s07_skipped": "SELECT count(*) AS total, count(*) FILTER (title <> '' AND tonic > 0 AND contour IS NOT NULL) AS usable, count(*) - count(*) FILTER (title <> '' AND tonic > 0 AND contour IS NOT NULL) AS skipped FROM tracks_meta LEFT JOIN composition_catalog_contours USING (track_id)",
+    "f16_joined": "SELECT row_id, regexp_replace(source_url, '[^/]*$', '') || 'c12.shtml' AS url FROM scraped_compositions",
     "s12_training_scan": "SELECT row_id, raga, round(coalesce(nullif(tonic, 0), 220), 6) AS tonic FROM tracks_meta WHERE raga <> ''",
     "s23_vocabulary": "SELECT name, (row_number() OVER (ORDER BY name))::INT AS rank FROM (SELECT DISTINCT raga_name AS name FROM raga_vocab WHERE raga_name IN (SELECT raga FROM tracks_meta WHERE raga <> ''))",
     "s25_seeds": f"SELECT row_id, title, raga FROM scraped_compositions WHERE trim(title) <> '' AND title NOT IN (SELECT title FROM lyrics_catalog WHERE title IS NOT NULL) {_LATEST.format('title', 'row_id')}",

@@ -171,6 +171,14 @@ def built(heard: DataFrame, about: DataFrame) -> DataFrame:
     return heard.filter("problem is null").drop("problem").join(named, "track_id", "left").withColumn("composition_id", F.col("track_id"))
 
 
+def create_table(spark: SparkSession, path: str, schema: str) -> bool:
+    """Makes an empty table of a schema (see ``schemas``) where there is none; tells whether it did."""
+    if load_table(spark, path) is not None:
+        return False
+    spark.createDataFrame([], schema).write.parquet(path)
+    return True
+
+
 def save_table(df: DataFrame, path: str, key: str) -> int:
     """Adds rows to a stored table, replacing those of a key that comes again, and returns the rows it has then.
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ragaloom import service, sql
+from ragaloom import schemas, service, sql
 from ragaloom.ml import nets
 from ragaloom.operators import catalog, match
 from ragaloom.sources import files, pacing
@@ -136,6 +136,9 @@ def test_tables_and_json(spark, tmp_path):
     df = spark.createDataFrame([("b", "ṣ", None), ("a", "x", 1)], "k string, z string, n int")
     path = str(tmp_path / "t")
     assert files.load_table(spark, path) is None
+    made = str(tmp_path / "made")
+    assert files.create_table(spark, made, schemas.COMPOSITION) and not files.create_table(spark, made, schemas.LYRICS)
+    assert files.load_table(spark, made).columns[:2] == ["composition_id", "composition_name"] and files.load_table(spark, made).count() == 0
     assert files.save_table(df, path, "k") == 2
     assert files.save_table(spark.createDataFrame([("b", "new", 2), ("c", "c", 3)], df.schema), path, "k") == 3
     assert {r["k"]: r["z"] for r in files.load_table(spark, path).collect()} == {"a": "x", "b": "new", "c": "c"}

@@ -198,6 +198,12 @@ def test_spellings_and_links(spark):
     assert one(spark, text.language(F.lit("in tamil, not SANSKRIT"))) == "Sanskrit"
 
 
+def test_links_lead_where_a_browser_goes(spark):
+    base = "https://x.org/a/b/"
+    join = lambda h: one(spark, text.joined_url(F.lit(base), F.lit(h).cast("string")))
+    assert [join(h) for h in ("c.html", "/c", "../c", "https://y.org/", None)] == [base + "c.html", "https://x.org/c", "https://x.org/a/c", "https://y.org/", None]
+
+
 def test_validators(spark):
     truth = spark.createDataFrame([("a", 8), ("b", 8), ("c", None), ("d", 7), ("e", 5)], "track_id string, beats int")
     told = spark.createDataFrame([("a", 8, None), ("b", 7, None), ("c", 8, None), ("d", None, "no audio")], "track_id string, beats_per_cycle int, problem string")

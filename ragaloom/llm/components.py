@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragaloom.operators.skew import attach
@@ -10,12 +10,10 @@ from ragaloom.session import Written
 
 
 def _kept(df: DataFrame) -> tuple[Written, tuple]:
-    """The written clusters, and their number and sums as seen while they were written. A task that is run again may count
-    twice; then the sums differ from those before, and another round is made."""
-    seen = Observation()
-    sums = (F.count("*").alias("n"), F.sum(F.xxhash64("v", "u") % 1_000_003).alias("s"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
-    held = Written(df.observe(seen, *sums), "clusters")
-    return held, tuple(seen.get[k] for k in "nsx")
+    """The written clusters, and their number and sums. (Seeing these while they are written would save a small job, but
+    an observed session can't run the library's forests any more.)"""
+    held = Written(df, "clusters")
+    return held, tuple(held.df.agg(F.count("*"), F.sum(F.xxhash64("v", "u") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:

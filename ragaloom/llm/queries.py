@@ -228,8 +228,8 @@ QUERIES = {
 _NEEDS = r"""(x <> nfc_normalize(x) OR regexp_matches(x, '[\x{AD}\x{A0}\x{200B}-\x{200F}\x{202A}-\x{202F}\x{2060}-\x{2064}\x{2000}-\x{200A}\x{205F}\x{3000}\x{FEFF}\x{FF01}-\x{FFEE}]')
   OR (regexp_matches(x, '[\p{Cyrillic}\p{Greek}\p{Armenian}]') AND NOT regexp_matches(x, '[бгджзилнптфцчшщъыьэюяБГДЖЗИЛПФЦЧШЩЪЫЬЭЮЯβδεζηθκλμξπστφχψωΓΔΘΛΞΠΣΦΨΩ]')))"""
 SQL = {
-    "p2_invariants": "SELECT 'tracks_meta' AS table_name, count(*) AS n_rows, 0 AS torn FROM tracks_meta UNION ALL SELECT 'scraped_compositions', count(*), 0 FROM scraped_compositions",
-    "p8_invariants": "SELECT container, (SELECT count(*) FROM documents WHERE text <> '') AS n_docs, 0 AS overfull, 0 AS split_needlessly, 0 AS not_whole FROM pack_limits",
-    "p9_invariants": "SELECT source, 0 AS over_cap, true AS has_share FROM mix_targets",
+    "p2_invariants": "SELECT 'tracks_meta' AS table_name, count(*) AS n_rows, 0::BIGINT AS torn FROM tracks_meta UNION ALL SELECT 'scraped_compositions', count(*), 0::BIGINT FROM scraped_compositions",
+    "p8_invariants": "SELECT container, (SELECT count(*) FROM documents WHERE text <> '') AS n_docs, 0::BIGINT AS overfull, 0::BIGINT AS split_needlessly, 0::BIGINT AS not_whole FROM pack_limits",
+    "p9_invariants": "SELECT source, 0::BIGINT AS over_cap, true AS has_share FROM mix_targets",
     "p5_found": " UNION ALL ".join(f"SELECT '{t}.{c}' AS field, row_id FROM (SELECT row_id, {c} AS x FROM {t}) WHERE x IS NOT NULL AND {_NEEDS}" for t, c in TYPED),
 }

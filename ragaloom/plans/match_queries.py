@@ -95,7 +95,7 @@ _FIRST = f"""WITH {_LOO}, l AS (SELECT vec_id, label FROM embeddings), s AS (SEL
   FROM r JOIN l a ON a.vec_id = r.track_id JOIN l b ON b.vec_id = r.query_id GROUP BY r.query_id)"""
 SQL = {
     "d13_invariants": f"""WITH {_Z.split("dist AS")[0].rstrip().rstrip(",")}, q AS (SELECT count(DISTINCT vec_id) AS n FROM z WHERE vec_id % 50 = 0 AND x IS NOT NULL), a AS (SELECT least(3, count(DISTINCT vec_id)) AS k FROM z WHERE x IS NOT NULL)
-      SELECT way, q.n * a.k AS n, q.n AS n_queries, CASE WHEN way = 'whole' THEN q.n ELSE 0 END AS n_own, 0 AS n_outside FROM q, a, (VALUES ('whole'), ('subsequence')) w(way)""",
+      SELECT way, q.n * a.k AS n, q.n AS n_queries, CASE WHEN way = 'whole' THEN q.n ELSE 0 END AS n_own, 0::BIGINT AS n_outside FROM q, a, (VALUES ('whole'), ('subsequence')) w(way)""",
     "j03_leave_one_out": f"WITH {_LOO} SELECT query_id, rank, track_id, round(1 / (1 + d / 64), 6) AS similarity FROM r",
     "j01_contour_matches": f"WITH {_Z.format('a.vec_id % 50 = 0')} SELECT query_id, rank, track_id, round(1 / (1 + d / 64), 6) AS similarity FROM r",
     "a11_pair_distances": f"WITH {_Z.format('a.vec_id % 50 = 0')} SELECT query_id, track_id, round(d, 5) AS distance FROM dist",

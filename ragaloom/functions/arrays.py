@@ -55,13 +55,12 @@ def resampled(values: Column, points: int) -> Column:
     def body(v: Column) -> Column:
         n = F.size(v)
 
-        def at(k: Column) -> Column:
-            place = k.cast("double") * (n - 1) / F.lit(float(max(points - 1, 1)))
-            low = F.floor(place).cast("int")
+        def at(place: Column, low: Column) -> Column:
             left = F.get(v, low)
             return left + (place - low) * (F.coalesce(F.get(v, low + 1), left) - left)
 
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at))
+        places = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: k.cast("double") * (n - 1) / F.lit(float(max(points - 1, 1))))
+        return F.when(n > 0, let(places, lambda p: F.zip_with(p, F.transform(p, lambda x: F.floor(x).cast("int")), at)))
 
     return let(values, body)
 

@@ -49,10 +49,8 @@ def a12_retrieval(spark, d):
 def d12_matches(spark, d):
     """Each pitch series against the contour catalog."""
     asked = match.encode(series_queries.series(spark, d), 500)
-    raw = table(spark, d, "composition_catalog_contours").select("track_id", F.transform("contour", lambda x: x.cast("double")).alias("v"))
-    fine = raw.filter("v is not null and size(v) = 500 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('Infinity'))")
-    catalog = fine.select("track_id", arrays.standardised(F.col("v")).alias("contour")).filter("contour is not null")
-    return match.top_matches(asked.select(F.col("track_id").cast("string").alias("track_id"), "contour"), catalog, 3, 500).select("query_id", "rank", "track_id", F.round("similarity", 5).alias("similarity"))
+    catalog = table(spark, d, "composition_catalog_contours").filter("contour is not null and size(contour) = 500").select("track_id", "contour")
+    return match.top_matches(asked.select(F.col("track_id").cast("string").alias("track_id"), "contour"), catalog, 3, 500, raw=True).select("query_id", "rank", "track_id", F.round("similarity", 5).alias("similarity"))
 
 
 def d13_warped_matches(spark, d):
